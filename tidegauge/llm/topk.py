@@ -122,9 +122,9 @@ def op9_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP9_SQL = """
 with x as (
-    select vec_id, list_transform(embedding, c -> cast(floor(256 * cast(c as double)) as bigint)) v from embeddings
+    select vec_id, list_transform(embedding, lambda c: cast(floor(256 * cast(c as double)) as bigint)) v from embeddings
     where vec_id is not null and embedding is not null
-      and len(list_filter(embedding, c -> c is null or isnan(c) or isinf(c))) = 0
+      and len(list_filter(embedding, lambda c: c is null or isnan(c) or isinf(c))) = 0
 ), s as (
     select q.vec_id query_id, c.vec_id, cast(list_dot_product(cast(q.v as double[]), cast(c.v as double[])) as bigint) score
     from x q join x c on q.vec_id <> c.vec_id and len(q.v) = len(c.v) where q.vec_id % 50 = 0
