@@ -49,4 +49,4 @@ def min_max(value: Column, over) -> Column:
 def single_or_mixed(values: Column) -> Column:
     """The one distinct value of an array, else 'mixed'; null if it is empty."""
     distinct = F.array_distinct(values)
-    return F.when(F.size(distinct) == 1, distinct[0]).when(F.size(distinct) > 1, F.lit("mixed"))
+    return F.when(F.size(distinct) == 1, F.get(distinct, F.lit(0))).when(F.size(distinct) > 1, F.lit("mixed"))

@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 
 from tidegauge.functions import rates, times, vectors
 from tidegauge.operators import aggregates as agg
-from tidegauge.operators import checks, search, serving, trends, versions
+from tidegauge.operators import checks, notices, search, serving, topics, trends, versions
 from tidegauge.plans.fixtures import COVERAGE_END, COVERAGE_START, RUN_AT, Tables, with_
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -483,3 +483,79 @@ def time_rules(t: Tables) -> DataFrame:
 def rates_and_buckets(t: Tables) -> DataFrame:
     g = t.raw("documents").join(t.raw("labels"), "doc_id", "left").groupBy("source").agg(F.count_if(F.col("quality") == 1).alias("good"), F.count("quality").alias("n"), F.collect_set("lang").alias("langs"))
     return g.select("source", rates.percent2(F.col("good"), F.col("n")).alias("pct"), rates.outcome(F.round(rates.percent(F.col("good"), F.col("n")) - 85, 4)).alias("outcome"), rates.single_or_mixed(F.col("langs")).alias("lang"))
+
+
+# ---- text rules and models (not expressible in SQL unless noted) -----------------------
+
+
+@query()
+def plain_text(t: Tables) -> DataFrame:
+    return t.raw("pages").select("page_id", notices.plain_text(F.col("html")).alias("body"))
+
+
+def _notices(t: Tables) -> DataFrame:
+    """Conversations as notices: the turn's first words are the title, markers make some patches."""
+    c = t.raw("conversations")
+    kind = F.element_at(F.array(*map(F.lit, ("Patch 1.", "Update ", "Community update ", "Beta ", ""))), (F.pmod("conv_id", F.lit(5)) + 1).cast("int"))
+    body = F.concat(F.lit("## Fixes\n- Fixed a crash when the map loads.\n- Increased sword damage from 10 to 12.\n"), F.coalesce("text", F.lit("")))
+    return c.select(F.concat_ws("-", "conv_id", "turn").alias("gid"), F.concat(kind, F.left("text", F.lit(30))).alias("title"), F.when(F.pmod("turn", F.lit(2)) == 0, body).otherwise(F.col("text")).alias("contents"), F.when(F.pmod("conv_id", F.lit(7)) == 0, "patchnotes, other").alias("tags"))
+
+
+@query()
+def notice_classify(t: Tables) -> DataFrame:
+    return notices.judged(_notices(t)).select("gid", "judgement.*")
+
+
+@query()
+def notice_sections(t: Tables) -> DataFrame:
+    return notices.notice_sections(_notices(t), ["gid"], "contents")
+
+
+@query()
+def chunk_notices(t: Tables) -> DataFrame:
+    return notices.notice_chunks(_notices(t), ["gid"], "contents", 300)
+
+
+@query()
+def change_extract(t: Tables) -> DataFrame:
+    return notices.notice_changes(notices.notice_sections(_notices(t), ["gid"], "contents"), ["gid"], "section", "heading")
+
+
+@query()
+def rule_slots(t: Tables) -> DataFrame:
+    chunked = notices.notice_chunks(_notices(t), ["gid"], "contents", 60)
+    return chunked.select("gid", "seq", notices.rule_slots(F.col("chunk"), F.col("heading")).alias("s")).filter("s is not null").select("gid", "seq", "s.*")
+
+
+@query()
+def grounding_check(t: Tables) -> DataFrame:
+    b = t.raw("benchmark").select("item_id", F.substr("text", F.lit(6), F.lit(40)).alias("quote"), "text")
+    return notices.with_grounding(b, "quote", "text").select("item_id", "grounded")
+
+
+@query()
+def summary_guards(t: Tables) -> DataFrame:
+    return t.raw("conversations").filter("text is not null").select("conv_id", "turn", *(c.alias(k) for k, c in notices.guards(F.col("text")).items()))
+
+
+@query()
+def topic_classify(t: Tables) -> DataFrame:
+    """Out-of-fold probability of 'toxic' and the threshold nearest its prevalence."""
+    rows = t.raw("documents").select("doc_id", "text").join(t.raw("labels"), "doc_id").select("doc_id", "text", F.col("toxic").cast("double").alias("label"))
+    return topics.pick_threshold(topics.out_of_fold(rows, "text", "label", "doc_id", 2), "label")
+
+
+@query("select doc_id, octet_length(encode(text)) > 30 and lang in ('en', 'de') long_enough from documents")
+def language_whitelist(t: Tables) -> DataFrame:
+    return t.raw("documents").select("doc_id", ((F.octet_length("text") > 30) & F.col("lang").isin("en", "de")).alias("long_enough"))
+
+
+@query("select conv_id, max(case when turn = 0 then role end) first_role, count(*) turns, string_agg(role, '>' order by turn) path from conversations group by 1")
+def ordered_blocks(t: Tables) -> DataFrame:
+    c = t.raw("conversations")
+    return c.groupBy("conv_id").agg(F.max(F.when(F.col("turn") == 0, F.col("role"))).alias("first_role"), F.count("*").alias("turns"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "role"))), lambda x: x["role"]), ">").alias("path"))
+
+
+@query("select event_id, cast(json_extract_string(props, '$.page') as varchar) page, json_extract_string(props, '$.k') k from events")
+def json_projection(t: Tables) -> DataFrame:
+    return t.raw("events").select("event_id", F.get_json_object("props", "$.page").alias("page"), F.get_json_object("props", "$.k").alias("k"))

@@ -66,7 +66,7 @@ def lake(spark: SparkSession, base: str, delta: str, schema: str = schemas.REVIE
     found = existing(spark, [base, delta])
     if not found:
         return spark.createDataFrame([], schema)
-    parts = [spark.read.schema(schema).parquet(p) for p in found]
+    parts = [spark.read.schema(schema).parquet(p).select(*schemas.columns(schema)) for p in found]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
