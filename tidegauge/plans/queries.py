@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidegauge.functions import rates, times, vectors
+from tidegauge.functions import rates, texts, times, vectors
 from tidegauge.operators import aggregates as agg
 from tidegauge.operators import checks, notices, search, serving, topics, trends, versions
 from tidegauge.plans.fixtures import COVERAGE_END, COVERAGE_START, RUN_AT, Tables, with_
@@ -559,3 +559,23 @@ def ordered_blocks(t: Tables) -> DataFrame:
 @query("select event_id, cast(json_extract_string(props, '$.page') as varchar) page, json_extract_string(props, '$.k') k from events")
 def json_projection(t: Tables) -> DataFrame:
     return t.raw("events").select("event_id", F.get_json_object("props", "$.page").alias("page"), F.get_json_object("props", "$.k").alias("k"))
+
+
+@query("select p_partkey, array_to_string(regexp_extract_all(p_name || ' 12 of 3.5% and 7 in 9', '(\\d+(?:\\.\\d+)?%?)', 1)[1:3], ',') nums, case when p_size > 25 then p_brand || ' was raised' else p_brand || ' was lowered' end sentence from part")
+def text_scalars(t: Tables) -> DataFrame:
+    p = t.raw("part")
+    way = F.when(F.col("p_size") > 25, "increase").otherwise("decrease")
+    return p.select("p_partkey", F.array_join(texts.numbers(F.concat("p_name", F.lit(" 12 of 3.5% and 7 in 9"))), ",").alias("nums"), texts.change_sentence(F.lit("modify"), way, F.col("p_brand")).alias("sentence"))
+
+
+@query()
+def greedy_batches(t: Tables) -> DataFrame:
+    rows = t.raw("conversations").select("conv_id", "turn", "text")
+    return texts.batches(rows, "conv_id", "turn", "text", 600, 3).select("conv_id", "turn", "batch")
+
+
+@query("select o_orderkey, o_totalprice, round((o_totalprice - min(o_totalprice) over w) / nullif(max(o_totalprice) over w - min(o_totalprice) over w, 0), 9) scaled from orders where o_custkey % 50 = 1 window w as (partition by o_custkey) qualify count(*) over w > 1")
+def min_max_scaled(t: Tables) -> DataFrame:
+    w = Window.partitionBy("o_custkey")
+    o = t.raw("orders").filter("o_custkey % 50 = 1").withColumn("n", F.count("*").over(w)).filter("n > 1")
+    return o.select("o_orderkey", "o_totalprice", F.round(rates.min_max(F.col("o_totalprice"), w), 9).alias("scaled"))
