@@ -28,6 +28,8 @@ BUCKET_BITS = 15
 #: Training rows a language has, about, at most; and languages, which bounds the matrix.
 ROWS_PER_LANGUAGE, MAX_LANGUAGES = 3000, 512
 SMOOTHING = 0.5
+#: Bytes of text whose n-grams are arrays at once: about 60 bytes for each.
+GRAM_BYTES = 1_000_000
 
 
 @functools.cache
@@ -100,7 +102,7 @@ def train_language_model(rows: DataFrame, text_col: str = "text", lang_col: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
-        for batch in slices(batches):
+        for batch in slices(batches, size=GRAM_BYTES):
             langs = batch.column(0).to_pylist()
             texts = batch.column(1).to_pylist()
             for lang in set(langs):
@@ -129,7 +131,7 @@ def predict_languages(docs: DataFrame, model: LanguageModel, text_col: str = "te
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), "lang_pred string", "lang_score double"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, text=0):
+        for batch in slices(batches, text=0, size=GRAM_BYTES):
             lang, score = model.predict([t or "" for t in batch.column(0).to_pylist()])
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=[*batch.schema.names[1:], "lang_pred", "lang_score"])
 

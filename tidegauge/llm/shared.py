@@ -49,13 +49,13 @@ def release(df: DataFrame) -> None:
         target.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(target, True)
 
 
-def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS, text: int = 1) -> Iterator[pa.RecordBatch]:
-    """Zero-copy pieces of Arrow batches of about SLICE_BYTES of the column ``text`` at most."""
+def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS, text: int = 1, size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Zero-copy pieces of Arrow batches with about ``size`` bytes of the column ``text`` at most."""
     for batch in batches:
         ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
         at = 0
         while at < batch.num_rows:
-            upto = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + SLICE_BYTES, "right"))
+            upto = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + size, "right"))
             upto = min(max(upto, at + 1), at + rows)
             yield batch.slice(at, upto - at)
             at = min(upto, batch.num_rows)
