@@ -32,6 +32,8 @@ from tidegauge.llm.shared import slices, table
 
 KINDS = ("email", "ip", "card", "phone")
 SENTENCE_WORDS = 64
+#: Bytes of text whose words are scored at once: about 50 bytes for each.
+PII_BYTES = 1_000_000
 
 # ---- base spans -------------------------------------------------------------------------
 
@@ -363,7 +365,7 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mo
     span = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("base", pa.bool_())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, text=0):
+        for batch in slices(batches, text=0, size=PII_BYTES):
             found = [[{"kind": KINDS[k], "start": a, "end": b, "base": (a, k, b) in base} for a, k, b in every] for base, every in all_spans(batch.column(0), model)]
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(found, span)], names=[id_col, "spans"])
 
@@ -378,7 +380,7 @@ def redact(docs: DataFrame, text_col: str = "text", model: Crf | None = None) ->
     schema = at.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, text=0):
+        for batch in slices(batches, text=0, size=PII_BYTES):
             out = []
             for text, (_, every) in zip(batch.column(0).to_pylist(), all_spans(batch.column(0), model), strict=True):
                 parts, done = [], 0

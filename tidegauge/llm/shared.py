@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import sys
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -12,7 +14,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 #: Rows of a text batch that Python holds as objects at once.
-SLICE_ROWS, SLICE_BYTES = 4096, 8_000_000
+SLICE_ROWS, SLICE_BYTES = 4096, 4_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -59,6 +61,16 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS, text: int
             upto = min(max(upto, at + 1), at + rows)
             yield batch.slice(at, upto - at)
             at = min(upto, batch.num_rows)
+    trim()
+
+
+def trim() -> None:
+    """Give freed memory back at a task's end: workers live on, and stages differ in their needs."""
+    pa.default_memory_pool().release_unused()
+    if sys.platform.startswith("linux"):
+        libc = ctypes.CDLL(None)
+        if hasattr(libc, "malloc_trim"):
+            libc.malloc_trim(0)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
