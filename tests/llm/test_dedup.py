@@ -128,3 +128,26 @@ def test_components(spark, kind):
     want = {(as_(x), as_(find(x))) for x in parent}
     df = spark.createDataFrame([(as_(a), as_(b)) for a, b in pairs], f"a {kind}, b {kind}")
     assert {tuple(x) for x in connected_components(df).collect()} == want
+
+
+def test_block_links_lose_none():
+    r = random.Random(12)
+    words = [f"w{k}" for k in range(300)]
+    base = [r.choice(words) for _ in range(90)]
+    texts = [" ".join(changed(r, base, r.randrange(12))) for _ in range(24)] + [" ".join(base[:60] + [r.choice(words) for _ in range(30)]) for _ in range(8)]
+    sh, counts = near_dedup.shingles(*near_dedup.word_hashes(pa.array(texts)))
+    keys = near_dedup.order_sketches(near_dedup.labelled(sh, counts), counts).view(np.int64)
+    bits = near_dedup.bitmaps(sh, counts).view(np.int64)
+    ends = np.append(0, np.cumsum(counts))
+    rows = [{"node": k, "n": int(counts[k]), "comp": k % 5, "inside": k % 5 == 0, "bits": bits[k].tolist(), "keys": keys[k].tolist(), "seq": sh[ends[k]:ends[k + 1]].astype(np.uint32).tobytes()} for k in range(len(texts))]
+    found, want = set(), set()
+    for key in {x for row in rows for x in row["keys"]}:
+        members = [x for x in rows if key in x["keys"]]
+        for a, b, s in near_dedup.block_links(key, [x for x in members if not x["inside"]], members, 0.8):
+            assert a > b and s >= 0.8
+            found |= {(a, rows[b]["comp"]), (b, rows[a]["comp"])}
+        for x in members:
+            for y in members:
+                if x["comp"] != y["comp"] and not x["inside"] and near_dedup.similar(np.frombuffer(x["seq"], np.uint32), np.frombuffer(y["seq"], np.uint32)) is not None:
+                    want.add((x["node"], y["comp"]) if y["inside"] or x["node"] < y["node"] else (y["node"], x["comp"]))
+    assert want and want <= found

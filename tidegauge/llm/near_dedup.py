@@ -9,8 +9,9 @@ aligned within the band that the threshold allows, decides:
     similarity = 1 - distance / longer length, linked from 0.8 on.
 
 Equal sequences are one node from the start. A sketch bucket is not expanded into pairs:
-each node is aligned with the bucket's first node, and the verified links are contracted
-by connected components. Where a bucket then still spans several components, the nodes
+each node is aligned with the bucket's first node, the one whose sketches most other nodes
+share (an original before its variants), and the verified links are contracted by connected
+components. Where a bucket then still spans several components, the nodes
 outside its first node's component are aligned with the bucket's nodes of other
 components, so no link between different texts of a bucket is lost.
 
@@ -22,7 +23,6 @@ none); extra columns are ignored; an empty table gives an empty result.
 
 from __future__ import annotations
 
-from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,14 +34,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidegauge.llm.components import connected_components
-from tidegauge.llm.shared import cut, slices, table
+from tidegauge.llm.shared import cut, release, slices, table
 
 SHINGLE_WORDS, SIMILARITY = 5, 0.8
 #: Sketches, and labelled shingles in each. At overlap 0.8 a pair is missed with probability
-#: (1 - 0.8**5)**40 = 1e-7, and texts that share a tenth of their shingles agree in one
-#: with probability 40 * 0.1**5 = 4e-4.
-SKETCHES, KEPT = 40, 5
+#: (1 - 0.8**4)**28 = 4e-7, and texts that share a tenth of their shingles agree in one
+#: with probability 28 * 0.1**4 = 3e-3.
+SKETCHES, KEPT = 28, 4
 SEED = 0x51ED270B
+#: 64-bit words of the bitmap of a sequence's shingles: an edit changes two bits at most, so
+#: more than twice the allowed distance in differing bits rules a pair out.
+BITMAP_WORDS = 16
+BLOCK_NODES = 64
+#: Bytes of text that are sketched at once: about 30 bytes for each.
+SKETCH_BYTES = 2_000_000
 #: Node ids up to which a list of nodes is broadcast (about 100 MB in Spark).
 BROADCAST_NODES = 2_000_000
 
@@ -122,13 +128,22 @@ def order_sketches(hashes: np.ndarray, counts: np.ndarray, sketches: int = SKETC
     return keys
 
 
+def bitmaps(shingle: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """rows x BITMAP_WORDS: which of 64 * BITMAP_WORDS hash places a row's shingles take."""
+    row = np.repeat(np.arange(len(counts)), counts)
+    out = np.zeros(len(counts) * BITMAP_WORDS, np.uint64)
+    place = shingle >> np.uint64(40)
+    np.bitwise_or.at(out, row * BITMAP_WORDS + ((place >> np.uint64(6)) % np.uint64(BITMAP_WORDS)).astype(np.int64), np.uint64(1) << (place & np.uint64(63)))
+    return out.reshape(-1, BITMAP_WORDS)
+
+
 def sketched(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, row_id, n, h1 and h2 (of the whole sequence), seq and keys of every row."""
+    """doc_id, row_id, n, h1 and h2 (of the whole sequence), seq, bits and keys of every row."""
     small = docs.select(F.col(text_col).alias("text"), F.col(id_col).cast("bigint").alias("doc_id"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row = TaskContext.get().partitionId() << 33
-        for batch in slices(batches, text=0):
+        for batch in slices(batches, text=0, size=SKETCH_BYTES):
             shingle, counts = shingles(*word_hashes(batch.column(0)))
             keys = order_sketches(labelled(shingle, counts), counts).view(np.int64)
             ends = np.append(0, np.cumsum(counts))
@@ -136,21 +151,22 @@ def sketched(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             h = np.array([xxhash.xxh3_128_intdigest(r).to_bytes(16, "little") for r in raw], "V16").view("<i8").reshape(-1, 2) if raw else np.zeros((0, 2), np.int64)
             low = shingle.astype(np.uint32)
             seq = [low[a:b].tobytes() for a, b in zip(ends, ends[1:], strict=False)]
+            bits = pa.ListArray.from_arrays(pa.array(np.arange(len(counts) + 1, dtype=np.int32) * BITMAP_WORDS), pa.array(bitmaps(shingle, counts).view(np.int64).ravel()))
             key_ends = np.append(0, np.cumsum(np.where(counts > 0, keys.shape[1], 0))).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(1), pa.array(row + np.arange(batch.num_rows)), pa.array(counts.astype(np.int32)), pa.array(h[:, 0].astype(np.int64)), pa.array(h[:, 1].astype(np.int64)), pa.array(seq, pa.binary()), pa.ListArray.from_arrays(pa.array(key_ends), pa.array(keys.ravel()))],
-                names=["doc_id", "row_id", "n", "h1", "h2", "seq", "keys"],
+                [batch.column(1), pa.array(row + np.arange(batch.num_rows)), pa.array(counts.astype(np.int32)), pa.array(h[:, 0].astype(np.int64)), pa.array(h[:, 1].astype(np.int64)), pa.array(seq, pa.binary()), bits, pa.ListArray.from_arrays(pa.array(key_ends), pa.array(keys.ravel()))],
+                names=["doc_id", "row_id", "n", "h1", "h2", "seq", "bits", "keys"],
             )
             row += batch.num_rows
 
-    return small.mapInArrow(run, "doc_id bigint, row_id bigint, n int, h1 bigint, h2 bigint, seq binary, keys array<bigint>")
+    return small.mapInArrow(run, "doc_id bigint, row_id bigint, n int, h1 bigint, h2 bigint, seq binary, bits array<bigint>, keys array<bigint>")
 
 
 def banded_distance(a: np.ndarray, b: np.ndarray, most: int) -> int | None:
     """Edit distance of two sequences if it is at most ``most``, else None.
 
-    Within the band of diagonals |j - i| <= most, it keeps for each number of edits the
-    furthest row reached on each diagonal; runs of equal items on a diagonal are jumped.
+    Equal ends are cut off, too few common items give it up, the rest is aligned in the band
+    of diagonals |j - i| <= most.
     """
     if len(a) > len(b):
         a, b = b, a
@@ -169,31 +185,62 @@ def banded_distance(a: np.ndarray, b: np.ndarray, most: int) -> int | None:
         return m if m <= most else None
     if m - _common(a, b) > most:  # each edit mends one item at most
         return None
-    stops: dict[int, list[int]] = {}
-
-    def slide(i: int, k: int) -> int:
-        """The first row from i on where diagonal k has unequal items or ends."""
-        if k not in stops:
-            low, high = max(0, -k), min(n, m - k)
-            stops[k] = [*(np.flatnonzero(a[low:high] != b[low + k:high + k]) + low).tolist(), high]
-        return stops[k][bisect_left(stops[k], i)]
-
-    goal = m - n
-    reach = {0: slide(0, 0)}
-    if goal == 0 and reach[0] >= n:
-        return 0
-    for edits in range(1, most + 1):
-        new = {}
-        for k in range(max(-edits, -n, goal - (most - edits) - 1), min(edits, m, goal + (most - edits) + 1) + 1):
-            i = max(reach.get(k, -2) + 1, reach.get(k - 1, -2), reach.get(k + 1, -2) + 1)
-            i = min(i, n, m - k)
-            if i < max(0, -k):
-                continue
-            new[k] = slide(i, k) if i < min(n, m - k) else i
-        if new.get(goal, -1) >= n:
-            return edits
-        reach = new
-    return None
+    return _band(a.tolist(), b.tolist(), most) if n > most else _column(a.tolist(), b.tolist(), most)
+
+
+def _band(a: list[int], b: list[int], most: int) -> int | None:
+    """Bit-parallel alignment within the diagonals |j - i| <= most, for len(a) > most.
+
+    Column j keeps the vertical differences (+1 in ``up``, -1 in ``down``) of the rows
+    j - most .. j + most only; the window moves one row with every column. The distance is
+    followed along the window's lowest diagonal, then along the last row.
+    """
+    n, m, width = len(a), len(b), 2 * most + 1
+    full, places = (1 << width) - 1, _places(a)
+    up, down, dist = ((1 << (most + 1)) - 1) << most, 0, most
+    lowest, row = 1 << (width - 1), 1 << (width - 2) if width > 1 else 0
+    give_up = most + m - (n - most)
+    for j in range(m):
+        eq = 0
+        for i in places.get(b[j], ()):
+            if -most <= i - j <= most:
+                eq |= 1 << (i - j + most)
+        diag = ((((eq & up) + up) ^ up) | eq | down) & full
+        right, left = down | (~(diag | up) & full), diag & up
+        if j < n - most:
+            dist += not diag & lowest
+        else:
+            dist += bool(right & row) - bool(left & row)
+            row >>= 1
+        if dist > give_up:
+            return None
+        diag >>= 1
+        up, down = left | (~(diag | right) & full), diag & right
+    return dist if dist <= most else None
+
+
+def _column(a: list[int], b: list[int], most: int) -> int | None:
+    """Bit-parallel alignment over whole columns, for len(a) <= most: all rows are in the band."""
+    n = len(a)
+    full, places, last = (1 << n) - 1, _places(a), 1 << (n - 1)
+    up, down, dist = full, 0, n
+    for x in b:
+        eq = 0
+        for i in places.get(x, ()):
+            eq |= 1 << i
+        diag = ((((eq & up) + up) ^ up) | eq | down) & full
+        right, left = down | (~(diag | up) & full), diag & up
+        dist += bool(right & last) - bool(left & last)
+        right, left = (right << 1 | 1) & full, (left << 1) & full
+        up, down = left | (~(diag | right) & full), diag & right
+    return dist if dist <= most else None
+
+
+def _places(a: list[int]) -> dict[int, list[int]]:
+    out: dict[int, list[int]] = {}
+    for i, x in enumerate(a):
+        out.setdefault(x, []).append(i)
+    return out
 
 
 def _common(a: np.ndarray, b: np.ndarray) -> int:
@@ -225,6 +272,63 @@ def aligned(pairs: DataFrame, sequences: DataFrame, least: float) -> DataFrame:
     return both.select("a", "b", "seq_a", "seq_b").mapInArrow(run, "a bigint, b bigint, similarity double")
 
 
+def _rank(support: F.Column, node: F.Column) -> F.Column:
+    """One number: more support first, then the smaller node (nodes are at least 0)."""
+    return (support.cast("decimal(18,0)") * F.lit("9223372036854775808").cast("decimal(19,0)") + (F.lit(2**63 - 1).cast("decimal(19,0)") - node.cast("decimal(19,0)"))).cast("decimal(38,0)")
+
+
+def _node_of(rank: F.Column) -> F.Column:
+    return (F.lit(2**63 - 1).cast("decimal(19,0)") - rank % F.lit("9223372036854775808").cast("decimal(19,0)")).cast("bigint")
+
+
+def across(mixed: DataFrame, least: float) -> DataFrame:
+    """Links between nodes of one bucket that are in different components.
+
+    mixed: key, node, n, comp, inside (the first node's component), seq, bits, keys. A bucket
+    is dealt into blocks of about BLOCK_NODES; a block's nodes outside meet each block of the
+    bucket inside one task, and only links leave it. A pair is looked at in the first bucket
+    that it shares; a node that is linked with a component needs no second link with it.
+    """
+    sizes = mixed.groupBy("key").agg(F.count("*").alias("size"))
+    dealt = mixed.join(sizes, "key").withColumn("part", F.pmod(F.xxhash64("node"), F.ceil(F.col("size") / BLOCK_NODES)))
+    blocks = cut(dealt.groupBy("key", "part").agg(F.collect_list(F.struct("node", "n", "comp", "inside", "bits", "keys", "seq")).alias("members")), "blocks")
+    outside = blocks.select("key", F.filter("members", lambda m: ~m["inside"]).alias("outside")).filter(F.size("outside") > 0)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            links: list[tuple[int, int, float]] = []
+            for r in batch.to_pylist():
+                links += block_links(r["key"], r["outside"], r["members"], least)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*links, strict=True) if links else ([], [], []), (pa.int64(), pa.int64(), pa.float64()), strict=True)], names=["a", "b", "similarity"])
+
+    return outside.join(blocks.select("key", "members"), "key").mapInArrow(run, "a bigint, b bigint, similarity double")
+
+
+def block_links(key: int, outside: list[dict], members: list[dict], least: float) -> list[tuple[int, int, float]]:
+    def column(rows: list[dict], name: str) -> np.ndarray:
+        return np.array([r[name] for r in rows])
+
+    if not outside:
+        return []
+    n, m = column(outside, "n")[:, None], column(members, "n")[None]
+    longer = np.maximum(n, m)
+    bits = [column(rows, "bits").astype(np.int64).view(np.uint64) for rows in (outside, members)]
+    differing = np.bitwise_count(bits[0][:, None] ^ bits[1][None]).sum(axis=-1, dtype=np.int64)
+    may = (column(outside, "comp")[:, None] != column(members, "comp")[None]) & (column(members, "inside")[None] | (column(outside, "node")[:, None] < column(members, "node")[None]))
+    may &= (np.minimum(n, m) >= least * longer - 1e-9) & (differing <= 2 * np.floor((1 - least) * longer + 1e-9))
+    out, linked = [], set()
+    pairs = np.argwhere(may)
+    for i, j in pairs[np.argsort(differing[may], kind="stable")].tolist():
+        x, y = outside[i], members[j]
+        if (x["node"], y["comp"]) in linked or min(set(x["keys"]) & set(y["keys"])) != key:
+            continue
+        found = similar(np.frombuffer(x["seq"], np.uint32), np.frombuffer(y["seq"], np.uint32), least)
+        if found is not None:
+            linked.add((x["node"], y["comp"]))
+            out.append((max(x["node"], y["node"]), min(x["node"], y["node"]), found))
+    return out
+
+
 def small_list(nodes: DataFrame) -> DataFrame:
     """A written one-column list, for a broadcast if it is short enough."""
     nodes = cut(nodes, "nodes")
@@ -232,36 +336,47 @@ def small_list(nodes: DataFrame) -> DataFrame:
 
 
 def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILARITY) -> DataFrame:
-    """doc_id, class_id, class_size, n_links (of the row's text to different texts), row_id."""
+    """doc_id, class_id, class_size, n_verified (links that were aligned; copies count once), row_id."""
     rows = cut(sketched(docs, id_col, text_col), "sketches")
     whole = rows.groupBy("h1", "h2").agg(F.min("row_id").alias("node"))
     whole = cut(whole, "whole")
     nodes = rows.join(whole.select(F.col("node").alias("row_id")), "row_id", "left_semi")
     buckets = cut(nodes.select(F.col("row_id").alias("node"), "n", F.explode("keys").alias("key")), "buckets")
-    first = buckets.groupBy("key").agg(F.min("node").alias("first"), F.count("*").alias("size")).filter("size > 1").select("key", "first")
-    shared = cut(buckets.join(first, "key"), "shared")  # buckets of at least two nodes
+    several = buckets.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
+    held = cut(buckets.join(several, "key"), "held")  # buckets of at least two nodes
+    release(buckets)
+    support = held.groupBy("node").agg(F.sum("size").alias("support"))
+    ranked = held.join(support, "node").select("key", "node", "n", _rank(F.col("support"), F.col("node")).alias("rank"))
+    ranked = cut(ranked, "ranked")
+    release(held)
+    first = ranked.groupBy("key").agg(F.max("rank").alias("best")).select("key", _node_of(F.col("best")).alias("first"))
+    shared = cut(ranked.drop("rank").join(first, "key"), "shared")
+    release(ranked)
 
     stars = cut(shared.filter("node <> first").select(F.col("node").alias("a"), F.col("first").alias("b")).distinct(), "stars")
     suspects = small_list(shared.select("node").distinct())
-    sequences = cut(nodes.select(F.col("row_id").alias("node"), "seq").join(suspects, "node", "left_semi"), "sequences")
+    sequences = cut(nodes.select(F.col("row_id").alias("node"), "seq", "bits", "keys").join(suspects, "node", "left_semi"), "sequences")
     links = cut(aligned(stars, sequences, least), "links")
     comps = cut(connected_components(links.select("a", "b")), "comps")
 
     placed = shared.join(comps, "node", "left").withColumn("comp", F.coalesce("component", "node")).drop("component")
     placed = cut(placed.join(comps.select(F.col("node").alias("first"), F.col("component").alias("c0")), "first", "left").select("key", "node", "n", "comp", F.coalesce("c0", "first").alias("c0")), "placed")
+    release(shared)
     outside = placed.filter("comp <> c0")
-    others = placed.join(outside.select("key").distinct(), "key", "left_semi").select("key", F.col("node").alias("other"), F.col("n").alias("m"), F.col("comp").alias("other_comp"), (F.col("comp") == F.col("c0")).alias("inside"))
-    rest = outside.join(others, "key").filter(F.expr(f"comp <> other_comp and (inside or node < other) and least(n, m) >= {least} * greatest(n, m)"))
-    more = cut(aligned(cut(rest.select(F.greatest("node", "other").alias("a"), F.least("node", "other").alias("b")).distinct(), "rest"), sequences, least), "links")
+    mixed = placed.join(outside.select("key").distinct(), "key", "left_semi").withColumn("inside", F.col("comp") == F.col("c0")).drop("c0")
+    mixed = cut(mixed.join(sequences, "node"), "mixed")
+    more = cut(across(mixed, least), "links")
+    for done in (sequences, placed, mixed):
+        release(done)
     if not more.isEmpty():
         links = links.unionByName(more)
         comps = cut(connected_components(links.select("a", "b")), "comps")
 
-    degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
-    members = rows.select("doc_id", "row_id", "h1", "h2").join(whole, ["h1", "h2"]).join(comps, "node", "left").join(degree, "node", "left").select("doc_id", "row_id", F.coalesce("component", "node").alias("comp"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_verified"))
+    members = rows.select("doc_id", "row_id", "h1", "h2").join(whole, ["h1", "h2"]).join(comps, "node", "left").join(degree, "node", "left").select("doc_id", "row_id", F.coalesce("component", "node").alias("comp"), F.coalesce("n_verified", F.lit(0)).alias("n_verified"))
     members = cut(members, "members")
     classes = members.groupBy("comp").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"))
-    return members.join(classes, "comp").select("doc_id", "class_id", "class_size", "n_links", "row_id")
+    return members.join(classes, "comp").select("doc_id", "class_id", "class_size", "n_verified", "row_id")
 
 
 def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
