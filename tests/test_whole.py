@@ -1,12 +1,9 @@
 """Queries and operators do the whole job, on small rows."""
 
-import os
-
-import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as e
-
-DATA = "/root/testdata/sf0.001"
+from tidegauge.operators import topics
 
 
 def saved(spark, path, **tables):
@@ -19,3 +16,13 @@ def test_min_max_of_every_customer(spark, tmp_path):
     orders = spark.createDataFrame([(1, 1, 10.0), (2, 1, 30.0), (3, 2, 5.0), (4, 2, 9.0), (5, 2, 6.0), (6, 3, 1.0)], "o_orderkey bigint, o_custkey bigint, o_totalprice double")
     out = e.queries()["min_max_scaled_all"](spark, saved(spark, tmp_path, orders=orders))
     assert sorted((r["o_orderkey"], r["scaled"]) for r in out.collect()) == [(1, 0.0), (2, 1.0), (3, 0.0), (4, 1.0), (5, 0.25)]
+
+
+def test_topics_are_scored_in_five_folds(spark, tmp_path, monkeypatch):
+    fitted = []
+    monkeypatch.setattr(topics, "pipeline", lambda *_: type("P", (), {"fit": lambda _, rows: fitted.append(rows.count())})())
+    monkeypatch.setattr(topics, "scored", lambda model, rows: rows.withColumn("prob", F.col("label")))
+    documents = spark.range(20).select(F.col("id").alias("doc_id"), F.lit("some text").alias("text"))
+    labels = spark.range(20).select(F.col("id").alias("doc_id"), (F.col("id") % 2).cast("int").alias("toxic"))
+    out = e.queries()["topic_classify"](spark, saved(spark, tmp_path, documents=documents, labels=labels))
+    assert fitted == [16] * 5 and out.first()["f1"] == 1.0

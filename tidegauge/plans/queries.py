@@ -542,7 +542,7 @@ def summary_guards(t: Tables) -> DataFrame:
 def topic_classify(t: Tables) -> DataFrame:
     """Out-of-fold probability of 'toxic' and the threshold nearest its prevalence."""
     rows = t.raw("documents").select("doc_id", "text").join(t.raw("labels"), "doc_id").select("doc_id", "text", F.col("toxic").cast("double").alias("label"))
-    return topics.pick_threshold(topics.out_of_fold(rows, "text", "label", "doc_id", 2), "label")
+    return topics.pick_threshold(topics.out_of_fold(rows, "text", "label", "doc_id"), "label")
 
 
 @query("select doc_id, octet_length(encode(text)) > 30 and lang in ('en', 'de') long_enough from documents")
