@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 import __spark_entry__ as e
-from tidegauge.operators import topics
+from tidegauge.operators import search, topics
 
 
 def saved(spark, path, **tables):
@@ -26,3 +26,12 @@ def test_topics_are_scored_in_five_folds(spark, tmp_path, monkeypatch):
     labels = spark.range(20).select(F.col("id").alias("doc_id"), (F.col("id") % 2).cast("int").alias("toxic"))
     out = e.queries()["topic_classify"](spark, saved(spark, tmp_path, documents=documents, labels=labels))
     assert fitted == [16] * 5 and out.first()["f1"] == 1.0
+
+
+def test_any_number_of_query_vectors(spark, monkeypatch):
+    c = spark.range(40).select("id", F.array(F.cos("id"), F.sin("id")).alias("vector"))
+    q = c.select(F.col("id").alias("slot"), "vector")
+    hits = lambda: sorted((r["slot"], r["rank"], r["id"]) for r in search.nearest(c, q, 3).collect())
+    whole = hits()
+    monkeypatch.setattr(search, "MAX_QUERIES", 7)
+    assert len(whole) == 120 and hits() == whole

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -10,18 +12,24 @@ from tidegauge.functions.rates import outcome, similarity_score
 from tidegauge.functions.vectors import cosine
 from tidegauge.operators.versions import latest
 
-#: Query vectors of one search at most: they are broadcast.
+#: Query vectors of a block, about: each block is broadcast.
 MAX_QUERIES = 1000
 
 
 def nearest(candidates: DataFrame, queries: DataFrame, k: int = 30) -> DataFrame:
     """The k nearest candidates (id, vector) of each query slot (slot, vector) by cosine.
 
-    A search has a few slots; more than MAX_QUERIES is an error. Vectors without length
-    are left out; ties go to the smaller id.
+    Slots beyond MAX_QUERIES are searched in blocks, dealt by a hash of the slot. Vectors
+    without length are left out; ties go to the smaller id.
     """
-    if queries.limit(MAX_QUERIES + 1).count() > MAX_QUERIES:
-        raise ValueError(f"over {MAX_QUERIES} query vectors")
+    blocks = -(-queries.count() // MAX_QUERIES)
+    if blocks <= 1:
+        return _nearest(candidates, queries, k)
+    dealt = queries.withColumn("__block", F.pmod(F.xxhash64("slot"), F.lit(blocks)))
+    return reduce(DataFrame.unionByName, (_nearest(candidates, dealt.filter(F.col("__block") == b), k) for b in range(blocks)))
+
+
+def _nearest(candidates: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     q = queries.select("slot", F.col("vector").alias("qv"))
     scored = candidates.join(F.broadcast(q), F.size("vector") == F.size("qv")).withColumn("cosine", cosine(F.col("vector"), F.col("qv"))).filter("cosine is not null")
     w = Window.partitionBy("slot").orderBy(F.desc("cosine"), F.asc("id"))
