@@ -1,9 +1,11 @@
 """Queries and operators do the whole job, on small rows."""
 
+from datetime import date
+
 from pyspark.sql import functions as F
 
 import __spark_entry__ as e
-from tidegauge.operators import search, topics
+from tidegauge.operators import search, topics, trends
 
 
 def saved(spark, path, **tables):
@@ -35,3 +37,19 @@ def test_any_number_of_query_vectors(spark, monkeypatch):
     whole = hits()
     monkeypatch.setattr(search, "MAX_QUERIES", 7)
     assert len(whole) == 120 and hits() == whole
+
+
+def test_recovery_and_hold_need_ten_reviews(spark):
+    on = lambda k: date(2024, 1, k)
+    rated = lambda ks: spark.createDataFrame([(1, on(k), n, p) for k, n, p in ks], "appid int, stat_date date, reviews bigint, positives bigint")
+    patches = spark.createDataFrame([(5, 1, on(8)), (6, 1, on(10)), (7, 1, on(25))], "gid int, appid int, patch_date date")
+    first = lambda d: trends.effect(d, patches).filter("gid = 5")
+    low = rated([(k, 10, 8) for k in range(1, 8)] + [(k, 10, 2) for k in range(8, 15)] + [(15, 1, 1)])
+    got = trends.recovery(low, first(low)).first()
+    assert (got["recovered_on"], got["pct_of_before"]) == (None, 34)  # the last window, of one review, would be back at 125 %
+    back = rated([(k, 10, 8) for k in range(1, 8)] + [(k, 10, 2) for k in range(8, 15)] + [(k, 10, 8) for k in range(15, 30)])
+    got = trends.with_via(trends.recovery(back, first(back)), patches, "recovered_on").first()
+    assert (got["recovered_on"], got["days"], got["pct_of_before"], got["via"]) == (on(15), 7, 100, [on(10)])
+    high = rated([(k, 10, 4) for k in range(1, 8)] + [(k, 10, 6) for k in range(8, 15)] + [(k, 10, 0) for k in range(15, 22)] + [(22, 10, 10), (23, 1, 0)])
+    got = trends.with_via(trends.hold(high, first(high)), patches, "held_until").first()
+    assert (round(got["peak"], 6), got["peak_after"] > 0.6, got["days_held"], got["held_until"], got["to_the_end"], got["via"]) == (0.6, True, 3, on(10), False, [on(10)])

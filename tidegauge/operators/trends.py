@@ -32,10 +32,11 @@ def facts(days: DataFrame) -> DataFrame:
     return out.join(peak, "appid", "left").join(low, "appid", "left")
 
 
-def moving_ratio(days: DataFrame, rows: int = ROWS) -> DataFrame:
-    """``ahead``: positives over reviews of this and the next rows - 1 rows."""
+def moving_ratio(days: DataFrame, rows: int = ROWS, least: int = 1) -> DataFrame:
+    """``ahead``: positives over reviews of this and the next rows - 1 rows, null under ``least`` reviews."""
     w = Window.partitionBy("appid").orderBy("stat_date").rowsBetween(0, rows - 1)
-    return days.withColumn("ahead", F.when(F.sum("reviews").over(w) > 0, F.sum("positives").over(w) / F.sum("reviews").over(w)))
+    n = F.sum("reviews").over(w)
+    return days.withColumn("ahead", F.when((n > 0) & (n >= least), F.sum("positives").over(w) / n))
 
 
 def effect(days: DataFrame, patches: DataFrame, n: int = 7) -> DataFrame:
@@ -48,22 +49,42 @@ def effect(days: DataFrame, patches: DataFrame, n: int = 7) -> DataFrame:
     return inside.groupBy("gid", "appid", "patch_date").agg(ratio(early).alias("before"), ratio(~early).alias("after")).withColumn("delta", F.col("after") - F.col("before"))
 
 
-def recovery(days: DataFrame, effects: DataFrame) -> DataFrame:
-    """After a drop: the first day whose forward ratio is back at 0.9 of before, and how long it took."""
+def with_via(out: DataFrame, patches: DataFrame, until: str) -> DataFrame:
+    """``via``: days of the game's other patches after a patch's day, up to ``until``."""
+    dates = patches.groupBy("appid").agg(F.array_sort(F.collect_set("patch_date")).alias("__dates"))
+    via = F.filter("__dates", lambda d: (d > F.col("patch_date")) & (d <= F.col(until)))
+    return out.join(dates, "appid", "left").withColumn("via", F.coalesce(via, F.array().cast("array<date>"))).drop("__dates")
+
+
+def recovery(days: DataFrame, effects: DataFrame, least: int = LOW_DAY_REVIEWS) -> DataFrame:
+    """After a drop: the first day whose forward ratio is back at 0.9 of before, and how long it took.
+
+    Windows of under ``least`` reviews don't count. pct_of_before is that day's ratio as a
+    percentage of before (999 at most), without recovery the best one's.
+    """
     drops = effects.filter("delta < 0").select("gid", F.col("appid").alias("p_appid"), "patch_date", "before")
-    ahead = moving_ratio(days)
+    ahead = moving_ratio(days, least=least)
     after = drops.join(ahead, (F.col("appid") == F.col("p_appid")) & (F.col("stat_date") >= F.col("patch_date")))
-    return after.groupBy("gid", "p_appid", "patch_date", "before").agg(F.min(F.when(F.col("ahead") >= RECOVERED * F.col("before"), F.col("stat_date"))).alias("recovered_on")).select("gid", F.col("p_appid").alias("appid"), "patch_date", "recovered_on", F.date_diff("recovered_on", "patch_date").alias("days"))
+    back = F.col("ahead") >= RECOVERED * F.col("before")
+    out = after.groupBy("gid", "p_appid", "patch_date", "before").agg(F.min(F.when(back, F.col("stat_date"))).alias("recovered_on"), F.min_by("ahead", F.when(back, F.col("stat_date"))).alias("then"), F.max("ahead").alias("best"))
+    pct = F.least(F.round(100 * F.coalesce("then", "best") / F.col("before")), F.lit(999)).cast("int")
+    return out.select("gid", F.col("p_appid").alias("appid"), "patch_date", "recovered_on", F.date_diff("recovered_on", "patch_date").alias("days"), pct.alias("pct_of_before"))
+
 
+def hold(days: DataFrame, effects: DataFrame, least: int = LOW_DAY_REVIEWS) -> DataFrame:
+    """After a rise: rows from the patch on until the forward ratio is no longer above before.
 
-def hold(days: DataFrame, effects: DataFrame) -> DataFrame:
-    """After a rise: rows from the patch on until the forward ratio is no longer above before."""
+    Windows of under ``least`` reviews don't count. ``peak`` is the best ratio while it held, and
+    null if it never did; ``peak_after`` that of the whole rest of the series; ``held_until`` is
+    the last day held.
+    """
     rises = effects.filter("delta > 0").select("gid", F.col("appid").alias("p_appid"), "patch_date", "before")
-    ahead = moving_ratio(days).filter("ahead is not null")
+    ahead = moving_ratio(days, least=least).filter("ahead is not null")
     after = rises.join(ahead, (F.col("appid") == F.col("p_appid")) & (F.col("stat_date") >= F.col("patch_date")))
     w = Window.partitionBy("gid").orderBy("stat_date")
-    run = after.withColumn("rn", F.row_number().over(w))
-    return run.groupBy("gid", F.col("p_appid").alias("appid"), "patch_date").agg(F.coalesce(F.min(F.when(F.col("ahead") <= F.col("before"), F.col("rn"))) - 1, F.count("*")).cast("bigint").alias("days_held"), F.max("ahead").alias("peak"), (F.count_if(F.col("ahead") <= F.col("before")) == 0).alias("to_the_end"))
+    over = F.col("ahead") <= F.col("before")
+    run = after.withColumn("rn", F.row_number().over(w)).withColumn("held", F.max(over).over(w) == F.lit(False))
+    return run.groupBy("gid", F.col("p_appid").alias("appid"), "patch_date").agg(F.coalesce(F.min(F.when(over, F.col("rn"))) - 1, F.count("*")).cast("bigint").alias("days_held"), F.max(F.when(F.col("held"), F.col("ahead"))).alias("peak"), F.max("ahead").alias("peak_after"), F.max(F.when(F.col("held"), F.col("stat_date"))).alias("held_until"), (F.count_if(over) == 0).alias("to_the_end"))
 
 
 def surge(days: DataFrame, patches: DataFrame, n: int = 7) -> DataFrame:

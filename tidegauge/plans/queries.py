@@ -416,13 +416,35 @@ def patch_effect(t: Tables) -> DataFrame:
 @query(with_("ef mv", "select e.gid, e.appid, e.patch_date, min(case when ahead >= 0.9 * before then stat_date end) recovered_on, date_diff('day', e.patch_date, min(case when ahead >= 0.9 * before then stat_date end)) as days from ef e join mv on mv.appid = e.appid and stat_date >= patch_date where delta < 0 group by 1, 2, 3"))
 def trend_recovery(t: Tables) -> DataFrame:
     d = t.days()
-    return trends.recovery(d, trends.effect(d, t.patch_days())).withColumn("days", F.col("days").cast("bigint"))
+    return trends.recovery(d, trends.effect(d, t.patch_days()), 1).withColumn("days", F.col("days").cast("bigint")).drop("pct_of_before")
 
 
 @query(with_("ef mv", ", x as (select e.*, stat_date, ahead, row_number() over (partition by e.gid order by stat_date) rn from ef e join mv on mv.appid = e.appid and stat_date >= patch_date where delta > 0 and ahead is not null) select gid, appid, patch_date, coalesce(min(case when ahead <= before then rn end) - 1, count(*)) days_held, round(max(ahead), 8) peak, count(*) filter (ahead <= before) = 0 to_the_end from x group by 1, 2, 3").replace(" , x as", ", x as"))
 def trend_hold(t: Tables) -> DataFrame:
     d = t.days()
-    return trends.hold(d, trends.effect(d, t.patch_days())).withColumn("peak", F.round("peak", 8))
+    out = trends.hold(d, trends.effect(d, t.patch_days()), 1)
+    return out.select("gid", "appid", "patch_date", "days_held", F.round("peak_after", 8).alias("peak"), "to_the_end")
+
+
+WHOLE = """, m as (select appid, stat_date, case when sum(reviews) over w >= 10 then sum(positives) over w / cast(sum(reviews) over w as double) end ahead from dy window w as (partition by appid order by stat_date rows between current row and 6 following)),
+x as (select e.*, stat_date, ahead, ahead {fails} before is true hit from ef e join m on m.appid = e.appid and stat_date >= patch_date where delta {sign} 0 {known}), """
+VIA = "coalesce((select string_agg(cast(d as varchar), ',' order by d) from (select distinct patch_date d, appid a from pd) k where k.a = z.appid and d > z.patch_date and d <= {until}), '') via"
+
+
+@query(with_("ef", (WHOLE.format(fails=">= 0.9 *", sign="<", known="") + "z as (select gid, appid, patch_date, min(case when hit then stat_date end) recovered_on, least(round(100 * coalesce(arg_min(ahead, stat_date) filter (hit), max(ahead)) / any_value(before)), 999)::int pct_of_before from x group by 1, 2, 3) select gid, appid, patch_date, recovered_on, date_diff('day', patch_date, recovered_on) as days, pct_of_before, " + VIA.format(until="z.recovered_on") + " from z")).replace(" , m as", ", m as"))
+def trend_recovery_whole(t: Tables) -> DataFrame:
+    """trend_recovery without windows of under ten reviews, with the share of before and the patches between."""
+    d, p = t.days(), t.patch_days()
+    out = trends.with_via(trends.recovery(d, trends.effect(d, p)), p, "recovered_on").withColumn("days", F.col("days").cast("bigint"))
+    return out.select("gid", "appid", "patch_date", "recovered_on", "days", "pct_of_before", F.array_join("via", ",").alias("via"))
+
+
+@query(with_("ef", (WHOLE.format(fails="<=", sign=">", known="and ahead is not null") + "y as (select *, count(*) filter (hit) over (partition by gid order by stat_date) = 0 held from x), z as (select gid, appid, patch_date, count(*) filter (held) days_held, max(ahead) filter (held) peak, max(stat_date) filter (held) held_until, count(*) filter (hit) = 0 to_the_end from y group by 1, 2, 3) select gid, appid, patch_date, days_held, round(peak, 8) peak, held_until, to_the_end, " + VIA.format(until="z.held_until") + " from z")).replace(" , m as", ", m as"))
+def trend_hold_whole(t: Tables) -> DataFrame:
+    """trend_hold without windows of under ten reviews, with the peak while it held and the patches between."""
+    d, p = t.days(), t.patch_days()
+    out = trends.with_via(trends.hold(d, trends.effect(d, p)), p, "held_until").withColumn("peak", F.round("peak", 8))
+    return out.select("gid", "appid", "patch_date", "days_held", "peak", "held_until", "to_the_end", F.array_join("via", ",").alias("via"))
 
 
 @query(with_("dy pd", """, p as (select *, lead(patch_date) over (partition by appid order by patch_date, gid) nd from pd),
