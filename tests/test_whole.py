@@ -53,3 +53,10 @@ def test_recovery_and_hold_need_ten_reviews(spark):
     high = rated([(k, 10, 4) for k in range(1, 8)] + [(k, 10, 6) for k in range(8, 15)] + [(k, 10, 0) for k in range(15, 22)] + [(22, 10, 10), (23, 1, 0)])
     got = trends.with_via(trends.hold(high, first(high)), patches, "held_until").first()
     assert (round(got["peak"], 6), got["peak_after"] > 0.6, got["days_held"], got["held_until"], got["to_the_end"], got["via"]) == (0.6, True, 3, on(10), False, [on(10)])
+
+
+def test_each_field_of_a_change_is_grounded(spark, tmp_path):
+    out = e.queries()["grounding_check"](spark, saved(spark, tmp_path, benchmark=spark.createDataFrame([(1, "some plain words of an item that go on for a while")], "item_id bigint, text string"))).collect()
+    got = {r["case"]: (r["grounded"], r["refusal"]) for r in out}
+    assert got.pop("true") == (True, None) and got.pop("quote")[1] in (None, "sentence")
+    assert got == {k: (False, k) for k in ("target", "attribute", "values", "conditions", "direction", "sentence")}

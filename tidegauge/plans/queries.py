@@ -551,8 +551,16 @@ def rule_slots(t: Tables) -> DataFrame:
 
 @query()
 def grounding_check(t: Tables) -> DataFrame:
-    b = t.raw("benchmark").select("item_id", F.substr("text", F.lit(6), F.lit(40)).alias("quote"), "text")
-    return notices.with_grounding(b, "quote", "text").select("item_id", "grounded")
+    """Change rows over each item: grounded ones, and one false in each field or in its direction."""
+    b = t.raw("benchmark").select("item_id", F.concat(F.lit("Increased sword damage from 10 to 12 in ranked play. "), F.coalesce("text", F.lit(""))).alias("text"), F.substr("text", F.lit(6), F.lit(40)).alias("quote"))
+    true = {"action": "increase", "target": "sword", "attribute": "damage", "values": "from 10 to 12", "conditions": "in ranked play", "sentence": "Increased sword damage from 10 to 12 in ranked play."}
+    false = {"target": {"target": "crossbow"}, "attribute": {"attribute": "fire rate"}, "values": {"values": "from 10 to 15"}, "conditions": {"conditions": "on weekends"}, "direction": {"action": "decrease"}, "sentence": {"sentence": "Increased bow damage."}}
+    cases = [("true", true), *((k, true | v) for k, v in false.items())]
+    rows = [F.struct(F.lit(k).alias("case"), *(F.lit(v).alias(n) for n, v in c.items())) for k, c in cases]
+    blank = {n: F.lit(None).cast("string") for n in true} | {"sentence": F.col("quote")}
+    rows.append(F.struct(F.lit("quote").alias("case"), *(c.alias(n) for n, c in blank.items())))
+    changes = b.withColumn("c", F.explode(F.array(*rows))).select("item_id", "text", "c.*", F.lit("Weapons").alias("context"))
+    return notices.with_refusal(changes.withColumn("conditions", F.array_compact(F.array("conditions")))).select("item_id", "case", "grounded", "refusal")
 
 
 @query()
