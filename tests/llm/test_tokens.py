@@ -8,7 +8,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 
-from tidegauge.llm import bpe, packing, token_counts
+from tidegauge.llm import bpe, packing, pretokens, token_counts
 
 SCHEMA = "doc_id bigint, text string, lang string, n_tokens string"
 ODD = ["a", "the", "'s", "'re", " 'll", " ", "  ", "\n", "\n\n", "\t", "\r\n", "é", "日本", "🙂", "12", "!", "...", "\u00a0", "\x1c", "\x85", "<|endoftext|>", "<|end", " hello", "World", "٣", "'", "\0", "\u200b", " so", "\nThe", " end."]
@@ -80,6 +80,38 @@ def test_stitching(chunk, overlap):
         assert np.frombuffer(core.encode(text), "<u4").tolist() == core.core.encode_ordinary(text)
 
 
+def test_pretokens_are_the_patterns():
+    """Against the pattern itself: odd texts side by side, and every character among others."""
+    import pyarrow as pa
+    import regex
+
+    pattern = regex.compile(public_tokenizers.PATTERN)
+    texts = [*odd_texts(400, seed=9), "", "'s", "''s", " 's'll 'x don't'", "we'rea 're", "a  b \n c\n\n", "x'l", "'", "  "]
+    starts, counts = pretokens.pretoken_starts(pa.array(texts))
+    want = [[len(p.encode()) for p in pattern.findall(t)] for t in texts]
+    assert counts.tolist() == [len(x) for x in want]
+    assert starts.tolist() == np.cumsum([0, *(n for x in want for n in x)])[:-1].tolist()
+
+
+def test_every_character_as_the_library():
+    core = bpe.ChunkedBpe(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    for a in range(0, 0x30000, 0x400):
+        text = "".join(f"a{chr(c)}b {chr(c)}{chr(c)}1 " for c in range(a, a + 0x400) if not 0xD800 <= c < 0xE000)
+        assert np.frombuffer(core.encode(text), "<u4").tolist() == core.core.encode_ordinary(text), hex(a)
+
+
+def test_seams_need_their_overlap():
+    """Chunks of long runs share no boundary in the overlap: the earlier one is pre-tokenised on."""
+    core, calls = bpe.ChunkedBpe(public_tokenizers.path("byte_bpe_50k.tiktoken"), chunk=32, overlap=5), []
+    make = core.chunks
+    core.chunks = lambda windows: (calls.append(len(windows)), make(windows))[1]
+    text = " ".join(w * n for w, n in (("ab", 40), ("it's we'll ", 9), ("  \n", 30), ("1", 70), ("!?", 33), ("\u00e9", 50)))
+    assert np.frombuffer(core.encode(text), "<u4").tolist() == core.core.encode_ordinary(text)
+    assert calls[0] > 10 and len(calls) > 1
+    alone = [c.bounds for c in make([(text.encode(), a, b) for a, b in bpe.spans(text.encode(), 32, 5)])]
+    assert any(not len(np.intersect1d(x[x <= x[-1] - bpe.UNSAFE_TAIL], y)) for x, y in zip(alone, alone[1:]))
+
+
 def test_plan_is_a_packing():
     r = random.Random(1)
     for capacity in (10, 64, 1024):

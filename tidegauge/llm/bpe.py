@@ -1,16 +1,18 @@
 """Operator 8: byte-level BPE over overlapping chunks, and decoding by concatenation.
 
-A text is dealt into chunks that overlap. Each chunk is pre-tokenised on its own (in
-parallel threads where a text has several); a chunk starts anywhere, so its first
+A text is dealt into chunks that overlap. Each chunk is pre-tokenised on its own, all chunks
+of a batch of texts side by side in one array; a chunk starts anywhere, so its first
 pre-tokens may be wrong until its boundaries meet the true ones. Pre-tokenising looks
 behind nowhere: from a boundary that two neighbours share, the later chunk is right, so the
 stitch takes the earlier chunk up to the first shared boundary that is safe from the
 earlier chunk's cut end. Where an overlap shares none, the earlier chunk is pre-tokenised
-on, in windows that double, until one is found. Then each piece is encoded.
+on, in windows that double, until one is found. Then the pieces are encoded, each distinct
+one once, and their ids put in the order of the texts.
 
 Defined results: null text is empty (no ids, digests of the empty string); rows are
-independent, so repeated rows, ties, null ids and extra columns change nothing; an empty
-table gives an empty result; no special tokens, their strings are ordinary text.
+independent, so repeated rows, ties, null ids and extra columns change nothing; a very long
+text is many chunks of one batch; an empty table gives an empty result; no special tokens,
+their strings are ordinary text.
 """
 
 from __future__ import annotations
@@ -18,30 +20,30 @@ from __future__ import annotations
 import functools
 import hashlib
 from collections.abc import Iterator
-from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from tidegauge.llm.shared import slices, table
-from tidegauge.llm.units import BulkCache, RankEncoder, Rows
+from tidegauge.llm.pretokens import pretoken_starts
+from tidegauge.llm.shared import in_arrow, slices, table
+from tidegauge.llm.units import BulkCache, RankEncoder
 
 RANKS = "byte_bpe_50k.tiktoken"
-CHUNK_BYTES = 16_384
-OVERLAP_BYTES = 512
+CHUNK_BYTES = 4096
+OVERLAP_BYTES = 128
+#: Bytes of text whose characters are an array at once: about 40 bytes for each.
+PRETOKEN_BYTES = 1_000_000
 #: A boundary this close to a chunk's cut end may depend on what follows.
 UNSAFE_TAIL = 4
 
 
 class Chunk:
-    """Pre-tokens, or units, of bytes start..end of a text; bounds[k] is where piece k begins,
-    the last one the end. ``at`` identifies piece 0 for whoever encodes the pieces."""
+    """Pre-tokens of bytes start..end of a text; bounds[k] is where piece k begins, the last one the end."""
 
-    def __init__(self, start: int, end: int, sizes: np.ndarray, at):
-        self.start, self.end, self.at = start, end, at
-        self.bounds = start + np.append(0, np.cumsum(sizes)).astype(np.int64)
+    def __init__(self, start: int, end: int, bounds: np.ndarray):
+        self.start, self.end, self.bounds = start, end, bounds
 
     def safe(self, text_end: int) -> np.ndarray:
         return self.bounds if self.end == text_end else self.bounds[self.bounds <= self.end - UNSAFE_TAIL]
@@ -84,56 +86,57 @@ def stitch(n: int, chunks: list[Chunk], again) -> list[tuple[Chunk, int, int]]:
 class ChunkedBpe(RankEncoder):
     """Encoder and decoder for one file of ranks."""
 
-    def __init__(self, path: str, pattern: str = public_tokenizers.PATTERN, chunk: int = CHUNK_BYTES, overlap: int = OVERLAP_BYTES, threads: int = 2):
+    def __init__(self, path: str, pattern: str = public_tokenizers.PATTERN, chunk: int = CHUNK_BYTES, overlap: int = OVERLAP_BYTES):
         super().__init__(path, pattern)
-        self.chunk, self.overlap, self.threads = chunk, overlap, threads
-        self.pieces = BulkCache(lambda pieces: list(map(self.plain, pieces)))
+        self.chunk, self.overlap, self.own = chunk, overlap, pattern == public_tokenizers.PATTERN
+        self.pieces = BulkCache(lambda pieces: [self.plain(p.decode()) for p in pieces])
+
+    def chunks(self, windows: list[tuple[bytes, int, int]]) -> list[Chunk]:
+        """The pre-tokens of each window (text, start, end), on its own."""
+        parts = [raw[a:b].decode() for raw, a, b in windows]
+        if self.own:
+            starts, counts = pretoken_starts(pa.array(parts, pa.string()))
+        else:
+            sizes = [[len(p.encode()) for p in self.pattern.findall(x)] for x in parts]
+            starts, counts = np.cumsum([0, *(n for x in sizes for n in x)])[:-1], [len(x) for x in sizes]
+        upto = np.append(0, np.cumsum(counts))
+        base = np.append(0, np.cumsum([b - a for _, a, b in windows]))
+        return [Chunk(a, b, np.append(starts[i:j] - at + a, b)) for (_, a, b), i, j, at in zip(windows, upto[:-1].tolist(), upto[1:].tolist(), base.tolist(), strict=False)]
+
+    def bounds(self, texts: list[bytes]) -> list[np.ndarray]:
+        """Where the pre-tokens of each text begin, and its end."""
+        windows, of = [], []
+        for raw in texts:
+            own = spans(raw, self.chunk, self.overlap)
+            of.append((len(windows), len(windows) + len(own)))
+            windows += [(raw, a, b) for a, b in own]
+        chunks, out = self.chunks(windows), []
+        for raw, (a, b) in zip(texts, of, strict=True):
+            if b - a == 1:
+                out.append(chunks[a].bounds)
+            else:
+                again = lambda x, y, raw=raw: self.chunks([(raw, x, whole(raw, min(y, len(raw))))])[0]
+                runs = stitch(len(raw), chunks[a:b], again)
+                out.append(np.concatenate([*(c.bounds[i:j] for c, i, j in runs), [len(raw)]]))
+        return out
 
     def encode_all(self, texts: pa.Array) -> Iterator[bytes]:
-        """Ids of each text; the chunks of all texts are pre-tokenised as rows of one array."""
-        windows, parts = [], []
-        for text in texts:
-            raw = (text.as_py() or "").encode()
-            windows.append((len(parts), spans(raw, self.chunk, self.overlap), raw))
-            parts += [raw[a:b] for a, b in windows[-1][1]]
-        rows = self.rows(pa.array(parts, pa.binary()).cast(pa.string()))
-        for first, ab, raw in windows:
-            if not rows.clean[first:first + len(ab)].all():
-                yield self.by_pattern(raw)
-            elif len(ab) == 1:
-                yield rows.of_row(first)
-            else:
-                yield self._by_units(rows, first, ab, raw)
-
-    def _by_units(self, rows: Rows, first: int, ab: list[tuple[int, int]], raw: bytes) -> bytes:
-        units = rows.row_units
-        chunks = [Chunk(a, b, rows.unit_bytes[units[first + k]:units[first + k + 1]], units[first + k]) for k, (a, b) in enumerate(ab)]
-        try:
-            runs = stitch(len(raw), chunks, self._no_seam)
-        except LookupError:
-            return self.by_pattern(raw)
-        return b"".join(rows.of_units(c.at + a, c.at + b) for c, a, b in runs)
-
-    @staticmethod
-    def _no_seam(a: int, b: int):
-        raise LookupError(f"no shared unit boundary before byte {b}")
-
-    def by_pattern(self, raw: bytes) -> bytes:
-        """One text by the pattern itself: chunks in parallel threads, then the pieces' ids."""
-
-        def make(ab: tuple[int, int]) -> Chunk:
-            pieces = self.pattern.findall(raw[ab[0]:ab[1]].decode(), concurrent=True)
-            return Chunk(*ab, np.fromiter((len(p.encode()) for p in pieces), np.int64, len(pieces)), pieces)
-
-        windows = spans(raw, self.chunk, self.overlap)
-        if len(windows) > 1 and self.threads > 1:
-            with ThreadPoolExecutor(self.threads) as pool:
-                chunks = list(pool.map(make, windows))
-        else:
-            chunks = list(map(make, windows))
-        pieces = [p for c, a, b in stitch(len(raw), chunks, lambda a, b: make((a, whole(raw, min(b, len(raw)))))) for p in c.at[a:b]]
-        known = self.pieces.load(set(pieces))
-        return b"".join(map(known.__getitem__, pieces))
+        """Ids of each text: chunks, seams, then every distinct piece is encoded once."""
+        raws = [(t or "").encode() for t in texts.to_pylist()]
+        bounds = self.bounds(raws)
+        base = np.append(0, np.cumsum([len(r) for r in raws]))
+        offsets = np.concatenate([*(b[:-1] + at for b, at in zip(bounds, base.tolist(), strict=False)), base[-1:]]).astype(np.int32)
+        pieces = pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(b"".join(raws))]).dictionary_encode()
+        distinct, at = pieces.dictionary.to_pylist(), pieces.indices.to_numpy()
+        known = self.pieces.load(set(distinct))
+        ids = [known[p] for p in distinct]
+        count = np.array([len(x) // 4 for x in ids], np.int64)
+        start = np.append(0, np.cumsum(count))
+        flat, upto = np.frombuffer(b"".join(ids), "<u4"), np.append(0, np.cumsum(count[at]))
+        flat = flat[np.repeat(start[at] - upto[:-1], count[at]) + np.arange(upto[-1])]
+        ends = upto[np.append(0, np.cumsum([len(b) - 1 for b in bounds]))]
+        for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+            yield flat[a:b].tobytes()
 
     def encode(self, text: str) -> bytes:
         return next(self.encode_all(pa.array([text], pa.string())))
@@ -156,11 +159,11 @@ def encode_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = coder(path)
-        for batch in slices(batches):
+        for batch in slices(batches, size=PRETOKEN_BYTES):
             ids = [np.frombuffer(x, dtype="<u4").astype(np.int32) for x in bpe.encode_all(batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], names=[id_col, "ids"])
 
-    return small.mapInArrow(run, f"`{id_col}` {kind}, ids array<int>")
+    return in_arrow(small, run, f"`{id_col}` {kind}, ids array<int>")
 
 
 def decode_ids(encoded: DataFrame, id_col: str = "doc_id", path: str | None = None) -> DataFrame:
@@ -175,7 +178,7 @@ def decode_ids(encoded: DataFrame, id_col: str = "doc_id", path: str | None = No
             raw = [bpe.decode(np.array(x or [], dtype="<u4").tobytes()) for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(raw, pa.binary())], names=[id_col, "bytes"])
 
-    return small.mapInArrow(run, f"`{id_col}` {kind}, bytes binary")
+    return in_arrow(small, run, f"`{id_col}` {kind}, bytes binary")
 
 
 def encode_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
@@ -186,7 +189,7 @@ def encode_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = coder(path)
-        for batch in slices(batches):
+        for batch in slices(batches, size=PRETOKEN_BYTES):
             n, of_ids, of_bytes = [], [], []
             for ids in bpe.encode_all(batch.column(1)):
                 n.append(len(ids) // 4)
@@ -194,7 +197,7 @@ def encode_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 of_bytes.append(hashlib.sha256(bpe.decode(ids)).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_bytes, pa.string())], names=[id_col, "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return small.mapInArrow(run, f"`{id_col}` {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+    return in_arrow(small, run, f"`{id_col}` {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
 
 
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
