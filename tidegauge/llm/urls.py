@@ -9,7 +9,8 @@ takes precedence over propagated blocks. A URL's own rule always wins over its c
 Defined results: a null URL, or one without ``://``, has an empty host and path, no rule
 and no aliases, and is allowed; null html has no links; repeated rows are judged alike,
 each on its own row; extra columns are ignored; an empty table gives an empty result. A
-relative link resolves against its page; a fragment is no part of an alias's name.
+relative link resolves against its page; a fragment is no part of an alias's name. All
+canonical links and refreshes of a page count, but none in comments, scripts or styles.
 """
 
 from __future__ import annotations
@@ -32,6 +33,7 @@ RULES = (
 MAX_RULES = 300
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
+HIDDEN = r"(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>"
 CANONICAL = r"""(?is)<link\b(?=[^>]*\brel\s*=\s*["']?\s*canonical\b)[^>]*\bhref\s*=\s*["']?([^"'\s>]+)"""
 REFRESH = r"""(?is)<meta\b(?=[^>]*\bhttp-equiv\s*=\s*["']?\s*refresh\b)[^>]*\bcontent\s*=\s*["']?[^"'>]*?\burl\s*=\s*([^"'\s>]+)"""
 
@@ -85,8 +87,8 @@ def rule_of(host: F.Column, path: F.Column, rules=RULES) -> F.Column:
 
 def alias_edges(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(a, b): names of URLs joined by a canonical link or a meta refresh."""
-    url, html = F.col(url_col), F.coalesce(F.col(html_col), F.lit(""))
-    links = F.array(F.regexp_extract(html, CANONICAL, 1), F.regexp_extract(html, REFRESH, 1))
+    url, html = F.col(url_col), F.regexp_replace(F.coalesce(F.col(html_col), F.lit("")), HIDDEN, "")
+    links = F.array_distinct(F.concat(*(F.regexp_extract_all(html, F.lit(p), F.lit(1)) for p in (CANONICAL, REFRESH))))
     found = pages.select(url.alias("page"), F.explode(F.filter(links, lambda x: x != "")).alias("link")).filter(F.instr("page", "://") > 0)
     return resolved(found.withColumn("link", F.regexp_replace("link", "&amp;", "&"))).select(node_of(F.col("page")).alias("a"), node_of(F.col("target")).alias("b"))
 
@@ -125,14 +127,14 @@ def _op5_sql() -> str:
     best = "(select {0} from rules where (x.host = rhost or ends_with(x.host, '.' || rhost)) and starts_with(x.path, rpath) order by length(rhost || rpath) desc, length(rhost) desc, verdict limit 1)"
     return f"""
 with recursive rules as ({rules}),
+shown as (select url page, regexp_replace(html, '(?is)<!--.*?-->|<script\\b.*?</script\\s*>|<style\\b.*?</style\\s*>', '', 'g') html from pages where instr(url, '://') > 0),
 links as (
-    select url page, unnest([
-        regexp_extract(html, '(?is)<link\\b[^>]*\\brel\\s*=\\s*["'']?\\s*canonical\\b[^>]*\\bhref\\s*=\\s*["'']?([^"''\\s>]+)', 1),
-        regexp_extract(html, '(?is)<link\\b[^>]*\\bhref\\s*=\\s*["'']?([^"''\\s>]+)[^>]*\\brel\\s*=\\s*["'']?\\s*canonical\\b', 1),
-        regexp_extract(html, '(?is)<meta\\b[^>]*\\bhttp-equiv\\s*=\\s*["'']?\\s*refresh\\b[^>]*\\bcontent\\s*=\\s*["'']?[^"''>]*?\\burl\\s*=\\s*([^"''\\s>]+)', 1)]) link
-    from pages where instr(url, '://') > 0
+    select page, unnest(regexp_extract_all(html, '(?is)<link\\b[^>]*\\brel\\s*=\\s*["'']?\\s*canonical\\b[^>]*\\bhref\\s*=\\s*["'']?([^"''\\s>]+)', 1)
+        || regexp_extract_all(html, '(?is)<link\\b[^>]*\\bhref\\s*=\\s*["'']?([^"''\\s>]+)[^>]*\\brel\\s*=\\s*["'']?\\s*canonical\\b', 1)
+        || regexp_extract_all(html, '(?is)<meta\\b[^>]*\\bhttp-equiv\\s*=\\s*["'']?\\s*refresh\\b[^>]*\\bcontent\\s*=\\s*["'']?[^"''>]*?\\burl\\s*=\\s*([^"''\\s>]+)', 1)
+        || regexp_extract_all(html, '(?is)<meta\\b[^>]*\\bcontent\\s*=\\s*["'']?[^"''>]*?\\burl\\s*=\\s*([^"''\\s>]+)[^>]*\\bhttp-equiv\\s*=\\s*["'']?\\s*refresh\\b', 1)) link from shown
 ),
-ends as (select page, case when instr(link, '://') > 0 then link
+ends as (select page, case when instr(replace(link, '&amp;', '&'), '://') > 0 then replace(link, '&amp;', '&')
         when starts_with(link, '//') then regexp_extract(page, '^(.*?)://', 1) || ':' || link
         when starts_with(link, '/') then regexp_extract(page, '^(.*?://[^/?#]*)', 1) || link
         else regexp_extract(page, '^(.*?://[^/?#]*(/[^?#]*/)?)', 1) || link end link from links where link <> ''),
