@@ -1,15 +1,18 @@
 """Operator 3: quality classifier by positive-unlabelled learning.
 
 Trusted positives are rows labelled 1; unlabelled rows are documents drawn without looking
-at labels; the class prior is the share of positives among the labelled rows of the
-training folds (Laplace-smoothed). The model is additive over binned text statistics and
+at labels. The class prior is the share of positives among the labelled rows of the
+training folds (Laplace-smoothed), where those hold negatives too: labels are then a sample of
+the documents. Where only positives are labelled it is estimated from them and the unlabelled
+rows: a first model is fitted to one half of both, and on the other half the prior is the least
+ratio, over thresholds, of the shares of unlabelled and of positive rows above it. The model is additive over binned text statistics and
 minimises the non-negative unbiased risk
     prior * R_p(+) + max(0, R_u(-) - prior * R_p(-))
 with logistic loss, so a sigmoid of the model estimates P(good | text). It is fitted on
 bounded samples (documented parameters); every document is scored, on its whole text.
 
 Defined results: null text counts as empty; an empty text has the statistics zero and is
-scored by them; without a positive row every score is the prior estimate; a null id counts
+scored by them; without a positive row every score is one half; a null id counts
 as not held out; a row's score depends on its own text only, so ties, repeated rows and
 extra columns change nothing; an empty table gives an empty result.
 """
@@ -26,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidegauge.llm.language_id import held_out
-from tidegauge.llm.shared import slices, table
+from tidegauge.llm.shared import in_arrow, slices, table
 
 #: Rows of each kind that the model is fitted on, at most.
 MAX_POSITIVES, MAX_UNLABELLED = 6000, 12000
@@ -94,23 +97,45 @@ def fit(positives: np.ndarray, unlabelled: np.ndarray, prior: float) -> QualityM
     at_p, at_u = QualityModel.one_hot(edges, positives), QualityModel.one_hot(edges, unlabelled)
     w, b = np.zeros(d), start
     m, v = np.zeros(d + 1), np.zeros(d + 1)
-    add = lambda at, g: np.bincount(at.ravel(), weights=np.repeat(g, at.shape[1]), minlength=d)
     for step in range(1, STEPS + 1):
-        s_p = 1 / (1 + np.exp(-(w[at_p].sum(axis=1) + b)))
-        s_u = 1 / (1 + np.exp(-(w[at_u].sum(axis=1) + b)))
-        risk_neg = -np.log1p(-s_u + 1e-12).mean() + prior * np.log1p(-s_p + 1e-12).mean()
-        g_pos, g_neg_p, g_neg_u = prior * (s_p - 1) / len(s_p), -prior * s_p / len(s_p), s_u / len(s_u)
-        if risk_neg >= 0:
-            g_p, g_u = g_pos + g_neg_p, g_neg_u
-        else:  # the unbiased estimate overfits: step back from it
-            g_p, g_u = -g_neg_p, -g_neg_u
-        grad = np.append(add(at_p, g_p) + add(at_u, g_u) + DECAY * w / len(FEATURES), g_p.sum() + g_u.sum())
+        _, grad = risk(at_p, at_u, prior, w, b)
+        grad[:-1] += DECAY * w / len(FEATURES)
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         move = RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-9)
         w, b = w - move[:-1], b - move[-1]
     return QualityModel(edges, w, b)
 
 
+def risk(at_p: np.ndarray, at_u: np.ndarray, prior: float, w: np.ndarray, b: float) -> tuple[float, np.ndarray]:
+    """(non-negative risk, its step for weights and bias): where the estimate of the negatives'
+    risk is below zero, the step goes back from it instead."""
+    add = lambda at, g: np.bincount(at.ravel(), weights=np.repeat(g, at.shape[1]), minlength=len(w))
+    s_p, s_u = (1 / (1 + np.exp(-(w[at].sum(axis=1) + b))) for at in (at_p, at_u))
+    positive = -prior * np.log(s_p + 1e-12).mean()
+    negative = -np.log1p(-s_u + 1e-12).mean() + prior * np.log1p(-s_p + 1e-12).mean()
+    g_pos, g_neg_p, g_neg_u = prior * (s_p - 1) / len(s_p), -prior * s_p / len(s_p), s_u / len(s_u)
+    g_p, g_u = (g_pos + g_neg_p, g_neg_u) if negative >= 0 else (-g_neg_p, -g_neg_u)
+    return positive + max(0.0, negative), np.append(add(at_p, g_p) + add(at_u, g_u), g_p.sum() + g_u.sum())
+
+
+def estimated_prior(positives: np.ndarray, unlabelled: np.ndarray, confidence: float = 0.1) -> float:
+    """The share of positives among unlabelled rows, from scores of both."""
+    cuts = np.unique(positives)
+    above = lambda x: 1 - np.searchsorted(np.sort(x), cuts, "left") / len(x)
+    p, u = above(positives), above(unlabelled)
+    slack = math.sqrt(math.log(4 / confidence) / 2) * (1 / math.sqrt(len(positives)) + 1 / math.sqrt(len(unlabelled)))
+    best = np.argmin((u + slack) / p)
+    return float(np.clip(u[best] / p[best], 0.01, 0.99))
+
+
+def prior_of_halves(positives: np.ndarray, unlabelled: np.ndarray) -> float:
+    """The prior by a model of every other row, on the rows between; 0.5 for too few rows."""
+    if len(positives) < 4 or len(unlabelled) < 4:
+        return 0.5
+    first = fit(positives[::2], unlabelled[::2], 0.5)
+    return estimated_prior(first.scores(positives[1::2]), first.scores(unlabelled[1::2]))
+
+
 def text_statistics(rows: DataFrame) -> DataFrame:
     """Columns of ``rows`` after the first (the text), and ``stats``."""
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema[1:]), "stats array<double>"])
@@ -120,26 +145,30 @@ def text_statistics(rows: DataFrame) -> DataFrame:
             stats = [statistics(t or "") for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(stats, pa.list_(pa.float64()))], names=[*batch.schema.names[1:], "stats"])
 
-    return rows.mapInArrow(run, schema)
+    return in_arrow(rows, run, schema)
 
 
 def train_quality_model(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_positives: int = MAX_POSITIVES, max_unlabelled: int = MAX_UNLABELLED) -> QualityModel:
     """docs and labels: of the training folds only."""
     ids = labels.select(F.col(id_col).alias("id"), F.col(label_col).alias("label")).filter("id is not null and label is not null")
     seen = ids.agg(F.count("*").alias("n"), F.coalesce(F.sum((F.col("label") == 1).cast("long")), F.lit(0)).alias("good")).first()
-    prior = (seen["good"] + 1) / (seen["n"] + 2)
+    trusted = ids.filter("label = 1").select("id").distinct()
     place = lambda c: F.pmod(F.xxhash64(c, F.lit(SEED)), F.lit(1 << 30)) / float(1 << 30)
-    share = min(1.0, 0.95 * max_positives / max(1, seen["good"]))
-    trusted = ids.filter((F.col("label") == 1) & (place(F.col("id")) < share)).select("id").distinct().limit(max_positives)
+    share = min(1.0, 0.95 * max_positives / max(1, trusted.count()))
+    trusted = trusted.filter(place(F.col("id")) < share)  # about max_positives ids at most
     rows = docs.select(F.col(text_col).alias("text"), F.col(id_col).alias("id"))
+    numbered = F.xxhash64("text")
     share = min(1.0, 0.95 * max_unlabelled / max(1, rows.count()))
     drawn = F.pmod(F.xxhash64("id", F.lit(SEED + 1)), F.lit(1 << 30)) / float(1 << 30) < share
-    sample = rows.join(F.broadcast(trusted.withColumn("trusted", F.lit(True))), "id", "left").select("text", F.coalesce("trusted", F.lit(False)).alias("trusted"), F.coalesce(drawn, F.lit(False)).alias("drawn"))
-    got = text_statistics(sample.filter("trusted or drawn")).limit(2 * (max_positives + max_unlabelled)).toPandas()
+    sample = rows.join(F.broadcast(trusted.withColumn("trusted", F.lit(True))), "id", "left").select("text", F.coalesce("trusted", F.lit(False)).alias("trusted"), F.coalesce(drawn, F.lit(False)).alias("drawn"), "id", numbered.alias("place"))
+    picked = sample.filter("trusted or drawn").dropDuplicates(["id", "place"])  # a row that repeats counts once
+    got = text_statistics(picked).toPandas().sort_values(["place", "id"], kind="stable")  # halves don't depend on partitions
     x = np.array(got["stats"].tolist(), float).reshape(len(got), len(FEATURES))
     if not len(x):
-        return QualityModel(np.zeros((len(FEATURES), 1)), np.zeros(2 * len(FEATURES)), math.log(prior / (1 - prior)))
-    return fit(x[got["trusted"].to_numpy(bool)], x[got["drawn"].to_numpy(bool)], prior)
+        return QualityModel(np.zeros((len(FEATURES), 1)), np.zeros(2 * len(FEATURES)), 0.0)
+    positives, unlabelled = x[got["trusted"].to_numpy(bool)], x[got["drawn"].to_numpy(bool)]
+    prior = (seen["good"] + 1) / (seen["n"] + 2) if seen["good"] < seen["n"] else prior_of_halves(positives, unlabelled)
+    return fit(positives, unlabelled, prior)
 
 
 def score_quality(docs: DataFrame, model: QualityModel, id_col: str = "doc_id", text_col: str = "text", keep_at: float = KEEP_AT) -> DataFrame:
@@ -153,7 +182,7 @@ def score_quality(docs: DataFrame, model: QualityModel, id_col: str = "doc_id",
             score = model.scores(x)
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(score), pa.array((score >= keep_at).astype(np.int32))], names=[id_col, "score", "predicted"])
 
-    return small.mapInArrow(run, f"`{id_col}` {kind}, score double, predicted int")
+    return in_arrow(small, run, f"`{id_col}` {kind}, score double, predicted int")
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
