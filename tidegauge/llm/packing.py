@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidegauge.llm.shared import cut, slices, table
+from tidegauge.llm.shared import cut, in_arrow, slices, table
 from tidegauge.llm.units import RankEncoder
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -101,7 +101,7 @@ def tokenised_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
                 arrays, names = [*arrays, pa.array(ids, pa.list_(pa.int32()))], [*names, "ids"]
             yield pa.RecordBatch.from_arrays(arrays, names=names)
 
-    return small.mapInArrow(run, f"`{id_col}` {kind}, piece int, start bigint, length bigint, ids_crc32 bigint, row_id bigint" + ", ids array<int>" * keep_ids)
+    return in_arrow(small, run, f"`{id_col}` {kind}, piece int, start bigint, length bigint, ids_crc32 bigint, row_id bigint" + ", ids array<int>" * keep_ids)
 
 
 def plan_bins(counts: dict[int, int], capacity: int) -> tuple[list[tuple[int, int, int, int, int, int]], int]:

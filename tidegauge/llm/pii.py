@@ -9,7 +9,8 @@ and its neighbours'; sentences are decoded by Viterbi, all those of one length i
 Defined results: null text counts as empty and has no spans; spans are in code points, end
 exclusive; an added span that overlaps a base span, or fails what can be checked (the number
 of digits, a card's check digit, parts of an address), is left out; a sentence ends at
-closing punctuation, a text's end or after SENTENCE_WORDS words; a row's result depends on
+closing punctuation, a text's end or, from SENTENCE_WORDS words on, between two plain words, so
+that no number or address is cut; a row's result depends on
 its own text only, so ties, repeated rows, null ids and extra columns change nothing; an
 empty table gives an empty result.
 """
@@ -28,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegauge.llm.shared import slices, table
+from tidegauge.llm.shared import in_arrow, slices, table
 
 KINDS = ("email", "ip", "card", "phone")
 SENTENCE_WORDS = 64
@@ -174,6 +175,15 @@ class Crf:
         return labels
 
 
+    def log_partition(self, masks: np.ndarray) -> float:
+        """The logarithm of the summed weights of all labellings of one sentence."""
+        e = self.scores(masks, np.zeros(len(masks), int))
+        f = self.start + e[0]
+        for row in e[1:]:
+            f = log_sum(f[:, None] + self.step, 0) + row
+        return float(log_sum(f, 0))
+
+
 def log_sum(x: np.ndarray, axis: int) -> np.ndarray:
     top = x.max(axis=axis, keepdims=True)
     return np.squeeze(top, axis) + np.log(np.exp(x - top).sum(axis=axis))
@@ -278,7 +288,7 @@ def plausible(kind: int, text: str) -> bool:
     """What can be checked of an added span: digits in number, a card's check digit, parts."""
     digits = digits_of(text)
     if KINDS[kind] == "email":
-        return "@" in text or "at" in text
+        return re.search(r"@|(?<![^\W_])at(?![^\W_])", text, re.IGNORECASE) is not None
     if KINDS[kind] == "ip":
         parts = re.findall(r"[0-9]+", text)
         return len(parts) >= 4 and all(len(p) <= 3 and int(p) <= 255 for p in parts[:4])
@@ -289,7 +299,31 @@ def plausible(kind: int, text: str) -> bool:
 
 # ---- the operator -----------------------------------------------------------------------
 
-_WORD = re.compile(r"\S+")
+def cuts(starts: np.ndarray, n: int, plain: np.ndarray) -> np.ndarray:
+    """Sentence starts, with those of the parts of long ones: cut between two plain words."""
+    ends = np.append(starts[1:], n)
+    if not len(starts) or (ends - starts).max() <= SENTENCE_WORDS:
+        return starts
+    between = np.flatnonzero(plain[1:] & plain[:-1]) + 1
+    more = []
+    for a, b in zip(starts[ends - starts > SENTENCE_WORDS].tolist(), ends[ends - starts > SENTENCE_WORDS].tolist(), strict=True):
+        while b - a > SENTENCE_WORDS:
+            at = np.searchsorted(between, a + SENTENCE_WORDS)
+            if at == len(between) or between[at] >= b:
+                break
+            a = int(between[at])
+            more.append(a)
+    return np.sort(np.concatenate([starts, np.array(more, np.int64)]))
+
+
+def places_of(text: str, words: list[str]) -> list[tuple[int, int]]:
+    """Where the words of a text stand, one after another."""
+    out, at = [], 0
+    for w in words:
+        at = text.index(w, at)
+        out.append((at, at + len(w)))
+        at += len(w)
+    return out
 
 
 def added_spans(texts: pa.Array, model: Crf) -> dict[int, list[tuple[int, int, int]]]:
@@ -308,8 +342,7 @@ def added_spans(texts: pa.Array, model: Crf) -> dict[int, list[tuple[int, int, i
     masks, closes = masks[at], closes[at]
     starts = np.append(True, closes[:-1] | (rows[1:] != rows[:-1]))
     where = np.flatnonzero(starts)
-    inside = np.arange(len(rows)) - where[np.cumsum(starts) - 1]
-    cut = np.flatnonzero(inside % SENTENCE_WORDS == 0)
+    cut = cuts(where, len(rows), (masks >> (len(SHAPES) + 1)) & 1 == 1)
     labels = model.decode(masks, np.diff(np.append(cut, len(rows))))
     hits = np.flatnonzero(labels)
     out: dict[int, list[tuple[int, int, int]]] = {}
@@ -320,22 +353,21 @@ def added_spans(texts: pa.Array, model: Crf) -> dict[int, list[tuple[int, int, i
     for row in np.unique(rows[hits]):
         own = rows[hits] == row
         text = texts[int(row)].as_py()
-        places = [m.span() for m in _WORD.finditer(text)]
+        places = places_of(text, [w for w in split[int(row)].as_py() if w])
         run: list[tuple[int, int, int]] = []  # word, label, sentence
         for w, s in [*zip((hits - row_first)[own].tolist(), sentence[own].tolist(), strict=True), (-9, -9)]:
             label = int(labels[row_first[own][0] + w]) if w >= 0 else 0
             if run and (w != run[-1][0] + 1 or label != run[-1][1] or s != run[-1][2]):
-                if run[-1][0] < len(places):
-                    a, b = places[run[0][0]][0], places[run[-1][0]][1]
-                    while a < b and text[a] in "\"'<[{,;:":
-                        a += 1
-                    while b > a and text[b - 1] in ".,;:!?\"'>]}|":
-                        b -= 1
-                    kind = run[0][1] - 1
-                    if plausible(kind, text[a:b]):
-                        out.setdefault(int(row), []).append((a, kind, b))
-                    elif len(run) > 1:  # several numbers in a row
-                        out.setdefault(int(row), []).extend((p, kind, q) for p, q in (places[x[0]] for x in run) if plausible(kind, text[p:q]))
+                a, b = places[run[0][0]][0], places[run[-1][0]][1]
+                while a < b and text[a] in "\"'<[{,;:":
+                    a += 1
+                while b > a and text[b - 1] in ".,;:!?\"'>]}|":
+                    b -= 1
+                kind = run[0][1] - 1
+                if plausible(kind, text[a:b]):
+                    out.setdefault(int(row), []).append((a, kind, b))
+                elif len(run) > 1:  # several numbers in a row
+                    out.setdefault(int(row), []).extend((p, kind, q) for p, q in (places[x[0]] for x in run) if plausible(kind, text[p:q]))
                 run = []
             run.append((w, label, s))
     return out
@@ -369,14 +401,14 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mo
             found = [[{"kind": KINDS[k], "start": a, "end": b, "base": (a, k, b) in base} for a, k, b in every] for base, every in all_spans(batch.column(0), model)]
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(found, span)], names=[id_col, "spans"])
 
-    return small.mapInArrow(run, f"`{id_col}` {kind}, spans array<struct<kind:string,start:int,end:int,base:boolean>>")
+    return in_arrow(small, run, f"`{id_col}` {kind}, spans array<struct<kind:string,start:int,end:int,base:boolean>>")
 
 
 def redact(docs: DataFrame, text_col: str = "text", model: Crf | None = None) -> DataFrame:
     """``docs`` with every span of its text replaced by its kind in brackets; null stays null."""
     model = model or default_model()
     order = [text_col, *(c for c in docs.columns if c != text_col)]
-    at = docs.select(*order)
+    at = docs.select(*(F.col(f"`{c}`") for c in order))
     schema = at.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -391,7 +423,7 @@ def redact(docs: DataFrame, text_col: str = "text", model: Crf | None = None) ->
                 out.append("".join([*parts, text[done:]]) if parts else text)
             yield pa.RecordBatch.from_arrays([pa.array(out, batch.column(0).type), *batch.columns[1:]], names=batch.schema.names)
 
-    return at.mapInArrow(run, schema).select(*docs.columns)
+    return in_arrow(at, run, schema).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from tidegauge.llm.shared import slices, table
+from tidegauge.llm.shared import in_arrow, slices, table
 from tidegauge.llm.units import BulkCache, are_clean, read_ranks, split_units
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -241,7 +241,7 @@ def token_tables(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 columns, names = [*columns, pa.array(kept, pa.binary())], [*names, "prefix_deltas"]
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return small.mapInArrow(run, schema)
+    return in_arrow(small, run, schema)
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
