@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidegauge.llm.shared import cut, table
+from tidegauge.llm.shared import cut, in_arrow, new_names, release, table
 
 WHITE_SPACE = r"[\x20\x09-\x0D]+"
 #: Fingerprints of one merged block in the mean, and of one filter before it is emitted.
@@ -125,7 +125,7 @@ def partition_filters(fingerprints: DataFrame, block_bits: int) -> DataFrame:
         if n:
             yield emit(parts)
 
-    return fingerprints.mapInArrow(run, f"block bigint, {CountingQuotientFilter.FIELDS}")
+    return in_arrow(fingerprints, run, f"block bigint, {CountingQuotientFilter.FIELDS}")
 
 
 def repeated_fingerprints(filters: DataFrame) -> DataFrame:
@@ -166,58 +166,72 @@ def bounded_broadcast(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
+def text_mark(text: F.Column) -> F.Column:
+    """A text's name among rows of one id."""
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: id, keep_id, group_size, kept, text_sha256 (and n_chars)."""
+    """One row per document, as a written table: id, keep_id, group_size, kept, text_sha256 (and n_chars, mark)."""
     small = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
     norm = normalised(F.col("text"))
     rows = cut(
-        small.select("doc_id", F.coalesce(F.length("text"), F.lit(0)).alias("n_chars"), norm.alias("norm"))
-        .select("doc_id", "n_chars", fingerprint(F.col("norm")).alias("fp"), F.sha2("norm", 256).alias("text_sha256"), F.monotonically_increasing_id().alias("row_id")),
+        small.select("doc_id", F.coalesce(F.length("text"), F.lit(0)).alias("n_chars"), text_mark(F.col("text")).alias("mark"), norm.alias("norm"))
+        .select("doc_id", "n_chars", "mark", fingerprint(F.col("norm")).alias("fp"), F.sha2("norm", 256).alias("text_sha256"), F.monotonically_increasing_id().alias("row_id")),
         "digests",
     )
-    block_bits = max(0, int(np.ceil(np.log2(max(1, rows.count()) / BLOCK_ENTRIES))))
-    repeats = cut(repeated_fingerprints(partition_filters(rows.select("fp"), block_bits)).select("fp"), "repeats")
-    n_repeats = repeats.count()
+    n = rows.count()
+    block_bits = max(0, int(np.ceil(np.log2(max(1, n) / BLOCK_ENTRIES))))
+    repeats = cut(repeated_fingerprints(partition_filters(rows.select("fp"), block_bits)).select("fp"), "repeats", n // 2)
 
-    suspects = small.select("doc_id", F.coalesce(F.length("text"), F.lit(0)).alias("n_chars"), norm.alias("norm")).withColumn("fp", fingerprint(F.col("norm"))).join(bounded_broadcast(repeats, n_repeats), "fp", "left_semi")
+    suspects = small.select("doc_id", F.coalesce(F.length("text"), F.lit(0)).alias("n_chars"), norm.alias("norm")).withColumn("fp", fingerprint(F.col("norm"))).join(bounded_broadcast(repeats, repeats.count()), "fp", "left_semi")
     verified = (
         suspects.groupBy("fp", "norm").agg(F.count("*").alias("group_size"), F.max(_order(F.col("n_chars"), F.col("doc_id"))).alias("best"))
         .filter("group_size > 1")
         .select("fp", F.sha2("norm", 256).alias("text_sha256"), "group_size", "best")
     )
-    verified = cut(verified, "verified")
+    verified = cut(verified, "verified", n // 2)
+    release(repeats)
     n_groups = verified.count()
     key = ["fp", "text_sha256"]
     best = rows.join(bounded_broadcast(verified, n_groups), key).filter(_order(F.col("n_chars"), F.col("doc_id")) == F.col("best")).groupBy(*key).agg(F.min("row_id").alias("best_row"))
-    groups = cut(verified.join(best, key).select(*key, "group_size", _id_of(F.col("best")).alias("best_id"), "best_row"), "groups")
-    return rows.join(bounded_broadcast(groups, n_groups), key, "left").select(
+    groups = verified.join(best, key).select(*key, "group_size", _id_of(F.col("best")).alias("best_id"), "best_row")
+    out = cut(rows.join(bounded_broadcast(groups, n_groups), key, "left").select(
         F.col("doc_id").alias(id_col),
         F.when(F.col("best_row").isNull(), F.col("doc_id")).otherwise(F.col("best_id")).alias("keep_id"),
         F.coalesce("group_size", F.lit(1)).cast("bigint").alias("group_size"),
         (F.col("best_row").isNull() | (F.col("best_row") == F.col("row_id"))).alias("kept"),
         "text_sha256",
         "n_chars",
-    )
+        "mark",
+    ), "exact")
+    release(rows)
+    release(verified)
+    return out
 
 
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the rows that :func:`exact_groups` drops, all columns."""
-    key = [id_col, "text_sha256", "n_chars"]
-    fate = exact_groups(docs, id_col, text_col).filter("group_size > 1").groupBy(*key).agg(F.sum(F.when(F.col("kept"), 1).otherwise(0)).alias("x_kept"), F.count("*").alias("x_rows"))
-    fate = cut(fate.filter("x_kept < x_rows").select(F.col(id_col).alias("x_id"), F.col("text_sha256").alias("x_sha"), F.col("n_chars").alias("x_chars"), "x_kept"), "fates")
-    text = F.col(text_col)
-    marked = docs.join(
-        bounded_broadcast(fate, fate.count()),
-        docs[id_col].cast("bigint").eqNullSafe(F.col("x_id")) & (F.sha2(normalised(text), 256) == F.col("x_sha")) & (F.coalesce(F.length(text), F.lit(0)) == F.col("x_chars")),
-        "left",
-    )
-    single = marked.filter("x_kept is null").select(*docs.columns)
-    once = marked.filter("x_kept > 0").withColumn("x_n", F.row_number().over(Window.partitionBy("x_id", "x_sha", "x_chars").orderBy(F.lit(0)))).filter("x_n = 1").select(*docs.columns)
-    return single.unionByName(once)
+    """``docs`` without the rows that :func:`exact_groups` drops, all columns.
+
+    Of rows with the same id and text, as many stay as are kept there: one at most. Names of
+    columns that the operator adds are new ones, so columns of any name pass through.
+    """
+    groups = exact_groups(docs, id_col, text_col)
+    fate = groups.filter("group_size > 1").groupBy(id_col, "mark").agg(F.max(F.col("kept").cast("int")).alias("stays"), F.count("*").alias("rows"))
+    fate = cut(fate.filter("stays = 0 or rows > 1"), "fates", groups.count())
+    release(groups)
+    id_, mark, of_id, of_mark, stays, place = new_names(docs.columns, 6)
+    fate = bounded_broadcast(fate.select(F.col(id_col).alias(of_id), F.col("mark").alias(of_mark), F.col("stays").alias(stays)), fate.count())
+    named = docs.select("*", F.col(f"`{id_col}`").cast("bigint").alias(id_), text_mark(F.col(f"`{text_col}`")).alias(mark))
+    marked = named.join(fate, F.col(id_).eqNullSafe(F.col(of_id)) & (F.col(mark) == F.col(of_mark)), "left")
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    once = Window.partitionBy(id_, mark).orderBy(F.lit(0))
+    repeated = marked.filter(F.col(stays) == 1).withColumn(place, F.row_number().over(once)).filter(F.col(place) == 1)
+    return marked.filter(F.col(stays).isNull()).select(*columns).unionByName(repeated.select(*columns))
 
 
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact_groups(table(spark, sf_dir, "documents")).drop("n_chars")
+    return exact_groups(table(spark, sf_dir, "documents")).drop("n_chars", "mark")
 
 
 OP7_SQL = r"""

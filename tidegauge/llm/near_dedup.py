@@ -1,24 +1,32 @@
 """Operator 2: near-duplicates by order MinHash, verified by banded alignment.
 
-A text is its sequence of five-word shingles (lower-cased words between white space).
-Order MinHash labels each shingle with its occurrence number, takes per sketch the few
-labelled shingles of least hash and keeps them in the order of the text: two texts agree
+A text is its sequence of lower-cased words between white space. Its k-mers are the runs of
+KMER_WORDS words; order MinHash labels each with its occurrence number, takes per sketch the
+few labelled k-mers of least hash and keeps them in the order of the text: two texts agree
 in a sketch with a probability that follows their edit similarity, not only their overlap.
-Texts that agree in a sketch are candidates; the edit distance of their shingle sequences,
+Texts that agree in a sketch are candidates; the edit distance of their word sequences,
 aligned within the band that the threshold allows, decides:
     similarity = 1 - distance / longer length, linked from 0.8 on.
+So one changed word costs one edit. Two texts whose five-word shingles have a Jaccard
+similarity of 0.8 or more differ in a few words in a hundred and are linked as well.
 
 Equal sequences are one node from the start. A sketch bucket is not expanded into pairs:
 each node is aligned with the bucket's first node, the one whose sketches most other nodes
 share (an original before its variants), and the verified links are contracted by connected
-components. Where a bucket then still spans several components, the nodes
-outside its first node's component are aligned with the bucket's nodes of other
-components, so no link between different texts of a bucket is lost.
+components. Where a bucket then still spans several components, its nodes are dealt into
+blocks of bounded size and blocks meet in pairs, spread over the tasks: there, nodes outside
+the first node's component are compared with the nodes of other components, by lengths and
+word bitmaps first, and what passes is aligned. Only links leave a task; a pair is aligned in
+the first bucket that it shares; a node that is linked with a component needs no second link
+with it. So no link between different texts of a bucket is lost.
 
 Defined results: null text counts as empty; texts without words form one class; texts of
-fewer than five words have one shingle of all their words; repeated rows fall in one class;
+fewer words than a k-mer have one k-mer of all their words; repeated rows fall in one class;
 a null id takes part, and a class id is the least non-null id of its class (null if there is
-none); extra columns are ignored; an empty table gives an empty result.
+none), so that two classes share a class id only where different texts share a doc id; ties
+change nothing, since every candidate is aligned or already linked; very long texts are taken
+whole, and the band of an alignment grows with them; extra columns are ignored, whatever
+their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -32,24 +40,32 @@ import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tidegauge.llm.components import connected_components
-from tidegauge.llm.shared import cut, release, slices, table
-
-SHINGLE_WORDS, SIMILARITY = 5, 0.8
-#: Sketches, and labelled shingles in each. At overlap 0.8 a pair is missed with probability
-#: (1 - 0.8**4)**28 = 4e-7, and texts that share a tenth of their shingles agree in one
-#: with probability 28 * 0.1**4 = 3e-3.
-SKETCHES, KEPT = 28, 4
+from tidegauge.llm.exact_dedup import text_mark
+from tidegauge.llm.shared import cut, in_arrow, new_names, release, slices, table, trim
+
+KMER_WORDS, SIMILARITY = 3, 0.8
+#: Sketches, and labelled k-mers in each. Where scattered edits leave a similarity of s, texts
+#: share j = s**3 / (2 - s**3) of their k-mers and are missed with probability (1 - j**3)**40:
+#: 0.19 at 0.8, 0.03 at 0.85, 2e-4 at 0.9. Texts that share a tenth of their k-mers (a passage)
+#: agree in a sketch with probability 40 * 0.1**3 = 0.04.
+SKETCHES, KEPT = 40, 3
+#: Values of a row, about, among which its least ones are looked for.
+LOW_VALUES = 16
 SEED = 0x51ED270B
-#: 64-bit words of the bitmap of a sequence's shingles: an edit changes two bits at most, so
-#: more than twice the allowed distance in differing bits rules a pair out.
-BITMAP_WORDS = 16
-BLOCK_NODES = 64
+#: 64-bit words of the bitmap of a text's words, each with its occurrence number: a changed
+#: word changes two bits at most, an added one one, so more differing bits than the allowed
+#: distance can make rule a pair out.
+BITMAP_WORDS = 64
+#: Bytes of a block, in the mean, counting NODE_BYTES and the words' for each node, and nodes
+#: that are compared with a block at once.
+BLOCK_BYTES, NODE_BYTES, COMPARED = 2_000_000, 1_000, 64
 #: Bytes of text that are sketched at once: about 30 bytes for each.
 SKETCH_BYTES = 2_000_000
-#: Node ids up to which a list of nodes is broadcast (about 100 MB in Spark).
-BROADCAST_NODES = 2_000_000
+#: Node ids up to which a list of nodes is broadcast (about 50 MB in Spark).
+BROADCAST_NODES = 1_000_000
 
 _M = np.uint64(0xFF51AFD7ED558CCD)
 _MAX = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -74,8 +90,8 @@ def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return of[at][keep] if len(at) else np.zeros(0, np.uint64), counts
 
 
-def shingles(hashes: np.ndarray, words: np.ndarray, k: int = SHINGLE_WORDS) -> tuple[np.ndarray, np.ndarray]:
-    """(64-bit shingle hashes of all rows in order, shingles of each row)."""
+def kmers(hashes: np.ndarray, words: np.ndarray, k: int = KMER_WORDS) -> tuple[np.ndarray, np.ndarray]:
+    """(64-bit hashes of the k-mers of all rows in order, k-mers of each row)."""
     counts = np.where(words > 0, np.maximum(1, words - k + 1), 0)
     row = np.repeat(np.arange(len(words)), counts)
     first = np.append(0, np.cumsum(words))[:-1]
@@ -90,76 +106,88 @@ def shingles(hashes: np.ndarray, words: np.ndarray, k: int = SHINGLE_WORDS) -> t
     return out, counts
 
 
-def labelled(shingle: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """Hashes of (shingle, occurrence number within its row)."""
+def labelled(kmer: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Hashes of (k-mer, occurrence number within its row)."""
     row = np.repeat(np.arange(len(counts)), counts)
-    order = np.lexsort((shingle, row))
-    s, r = shingle[order], row[order]
+    order = np.lexsort((kmer, row))
+    s, r = kmer[order], row[order]
     new = np.append(True, (s[1:] != s[:-1]) | (r[1:] != r[:-1])) if len(s) else np.zeros(0, bool)
     place = np.arange(len(s))
     nth = np.empty(len(s), np.uint64)
     nth[order] = (place - np.maximum.accumulate(np.where(new, place, 0))).astype(np.uint64)
-    return mix(shingle + nth * np.uint64(0xD6E8FEB86659FD93))
+    return mix(kmer + nth * np.uint64(0xD6E8FEB86659FD93))
 
 
 def order_sketches(hashes: np.ndarray, counts: np.ndarray, sketches: int = SKETCHES, kept: int = KEPT) -> np.ndarray:
-    """rows-with-shingles x sketches keys; each covers ``kept`` least shingles in text order."""
+    """rows-with-k-mers x sketches keys; each covers the ``kept`` least k-mers in text order.
+
+    Each sketch orders the hashes anew. A row's least values are looked for among those below
+    a bound that about LOW_VALUES of them pass; a row where too few do is looked at whole.
+    """
     some = counts[counts > 0]
-    starts = np.append(0, np.cumsum(some))[:-1]
+    n = len(some)
     seeds = np.random.default_rng(SEED).integers(1, 1 << 63, sketches, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    keys = np.zeros((len(some), sketches), np.uint64)
-    for s in range(sketches if len(some) else 0):
+    keys = np.zeros((n, sketches), np.uint64)
+    if not n:
+        return keys
+    row = np.repeat(np.arange(n, dtype=np.int32), some)
+    bound = np.repeat(np.where(some <= LOW_VALUES, _MAX, (LOW_VALUES / np.maximum(some, LOW_VALUES + 1) * 2.0**64).astype(np.uint64)), some)
+    for s in range(sketches):
         value = hashes * seeds[s]
         value ^= value >> np.uint64(31)
-        at = np.full((len(some), kept), np.iinfo(np.int64).max)
-        for n in range(kept):
-            low = np.minimum.reduceat(value, starts)
-            hit = np.flatnonzero(value == np.repeat(low, some))
-            hit = hit[value[hit] != _MAX]  # rows with fewer shingles are used up
-            rows = np.searchsorted(starts, hit, "right") - 1
-            at[rows[::-1], n] = hit[::-1]
-            value[hit] = _MAX
-        at.sort(axis=1)
-        key = np.full(len(some), s + 1, np.uint64)
-        for n in range(kept):
-            there = at[:, n] < len(hashes)
-            key = mix(key * np.uint64(31) + np.where(there, hashes[np.minimum(at[:, n], len(hashes) - 1)], np.uint64(n)))
+        low = value <= bound
+        few = np.bincount(row[low], minlength=n) < np.minimum(kept, some)
+        if few.any():
+            low |= few[row]
+        at = np.flatnonzero(low)
+        at = at[np.lexsort((value[at], row[at]))]
+        first = np.searchsorted(row[at], np.arange(n))
+        place = np.full((n, kept), len(hashes))
+        for j in range(kept):
+            there = j < some
+            place[there, j] = at[first[there] + j]
+        place.sort(axis=1)
+        key = np.full(n, s + 1, np.uint64)
+        for j in range(kept):
+            key = mix(key * np.uint64(31) + np.where(place[:, j] < len(hashes), hashes[np.minimum(place[:, j], len(hashes) - 1)], np.uint64(j)))
         keys[:, s] = key
     return keys
 
 
-def bitmaps(shingle: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """rows x BITMAP_WORDS: which of 64 * BITMAP_WORDS hash places a row's shingles take."""
+def bitmaps(words: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """rows x BITMAP_WORDS: which of 64 * BITMAP_WORDS places a row's numbered words take.
+
+    words: hashes of all rows, as ``seq`` keeps them.
+    """
     row = np.repeat(np.arange(len(counts)), counts)
     out = np.zeros(len(counts) * BITMAP_WORDS, np.uint64)
-    place = shingle >> np.uint64(40)
+    place = labelled(words.astype(np.uint64), counts) >> np.uint64(40)
     np.bitwise_or.at(out, row * BITMAP_WORDS + ((place >> np.uint64(6)) % np.uint64(BITMAP_WORDS)).astype(np.int64), np.uint64(1) << (place & np.uint64(63)))
     return out.reshape(-1, BITMAP_WORDS)
 
 
 def sketched(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, row_id, n, h1 and h2 (of the whole sequence), seq, bits and keys of every row."""
-    small = docs.select(F.col(text_col).alias("text"), F.col(id_col).cast("bigint").alias("doc_id"))
+    """doc_id, mark, row_id, n words, h1 and h2 (of the whole sequence), seq and keys of every row."""
+    small = docs.select(F.col(text_col).alias("text"), F.col(id_col).cast("bigint").alias("doc_id"), text_mark(F.col(text_col)).alias("mark"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row = TaskContext.get().partitionId() << 33
         for batch in slices(batches, text=0, size=SKETCH_BYTES):
-            shingle, counts = shingles(*word_hashes(batch.column(0)))
-            keys = order_sketches(labelled(shingle, counts), counts).view(np.int64)
-            ends = np.append(0, np.cumsum(counts))
-            raw = [shingle[a:b].tobytes() for a, b in zip(ends, ends[1:], strict=False)]
-            h = np.array([xxhash.xxh3_128_intdigest(r).to_bytes(16, "little") for r in raw], "V16").view("<i8").reshape(-1, 2) if raw else np.zeros((0, 2), np.int64)
-            low = shingle.astype(np.uint32)
+            hashes, words = word_hashes(batch.column(0))
+            kmer, counts = kmers(hashes, words)
+            keys = order_sketches(labelled(kmer, counts), counts).view(np.int64)
+            ends = np.append(0, np.cumsum(words))
+            h = np.array([xxhash.xxh3_128_digest(hashes[a:b].data) for a, b in zip(ends, ends[1:], strict=False)], "V16").view("<i8").reshape(-1, 2)
+            low = hashes.astype(np.uint32)
             seq = [low[a:b].tobytes() for a, b in zip(ends, ends[1:], strict=False)]
-            bits = pa.ListArray.from_arrays(pa.array(np.arange(len(counts) + 1, dtype=np.int32) * BITMAP_WORDS), pa.array(bitmaps(shingle, counts).view(np.int64).ravel()))
             key_ends = np.append(0, np.cumsum(np.where(counts > 0, keys.shape[1], 0))).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(1), pa.array(row + np.arange(batch.num_rows)), pa.array(counts.astype(np.int32)), pa.array(h[:, 0].astype(np.int64)), pa.array(h[:, 1].astype(np.int64)), pa.array(seq, pa.binary()), bits, pa.ListArray.from_arrays(pa.array(key_ends), pa.array(keys.ravel()))],
-                names=["doc_id", "row_id", "n", "h1", "h2", "seq", "bits", "keys"],
+                [batch.column(1), batch.column(2), pa.array(row + np.arange(batch.num_rows)), pa.array(words.astype(np.int32)), pa.array(h[:, 0].astype(np.int64)), pa.array(h[:, 1].astype(np.int64)), pa.array(seq, pa.binary()), pa.ListArray.from_arrays(pa.array(key_ends), pa.array(keys.ravel()))],
+                names=["doc_id", "mark", "row_id", "n", "h1", "h2", "seq", "keys"],
             )
             row += batch.num_rows
 
-    return small.mapInArrow(run, "doc_id bigint, row_id bigint, n int, h1 bigint, h2 bigint, seq binary, bits array<bigint>, keys array<bigint>")
+    return in_arrow(small, run, "doc_id bigint, mark bigint, row_id bigint, n int, h1 bigint, h2 bigint, seq binary, keys array<bigint>")
 
 
 def banded_distance(a: np.ndarray, b: np.ndarray, most: int) -> int | None:
@@ -260,6 +288,8 @@ def similar(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> float |
 def aligned(pairs: DataFrame, sequences: DataFrame, least: float) -> DataFrame:
     """pairs (a, b) of nodes whose sequences (node, seq) are similar: a, b, similarity."""
     both = pairs.join(sequences.select(F.col("node").alias("a"), F.col("seq").alias("seq_a")), "a").join(sequences.select(F.col("node").alias("b"), F.col("seq").alias("seq_b")), "b")
+    size_a, size_b = F.octet_length("seq_a"), F.octet_length("seq_b")
+    may = F.least(size_a, size_b) >= F.lit(least) * F.greatest(size_a, size_b) - 1e-6
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, rows=256, text=2):
@@ -269,7 +299,7 @@ def aligned(pairs: DataFrame, sequences: DataFrame, least: float) -> DataFrame:
             keep = [k for k, f in enumerate(found) if f is not None]
             yield pa.RecordBatch.from_arrays([pa.array([a[k] for k in keep], pa.int64()), pa.array([b[k] for k in keep], pa.int64()), pa.array([found[k] for k in keep], pa.float64())], names=["a", "b", "similarity"])
 
-    return both.select("a", "b", "seq_a", "seq_b").mapInArrow(run, "a bigint, b bigint, similarity double")
+    return in_arrow(both.filter(may).select("a", "b", "seq_a", "seq_b"), run, "a bigint, b bigint, similarity double")
 
 
 def _rank(support: F.Column, node: F.Column) -> F.Column:
@@ -281,115 +311,154 @@ def _node_of(rank: F.Column) -> F.Column:
     return (F.lit(2**63 - 1).cast("decimal(19,0)") - rank % F.lit("9223372036854775808").cast("decimal(19,0)")).cast("bigint")
 
 
-def across(mixed: DataFrame, least: float) -> DataFrame:
-    """Links between nodes of one bucket that are in different components.
+def across(mixed: DataFrame, sequences: DataFrame, least: float) -> DataFrame:
+    """Links between nodes of one bucket that are in different components: a, b, similarity.
 
-    mixed: key, node, n, comp, inside (the first node's component), seq, bits, keys. A bucket
-    is dealt into blocks of about BLOCK_NODES; a block's nodes outside meet each block of the
-    bucket inside one task, and only links leave it. A pair is looked at in the first bucket
-    that it shares; a node that is linked with a component needs no second link with it.
+    mixed: key, node, n, comp, inside (the first node's component). Nodes are dealt into blocks
+    by their hash; every block's nodes outside meet every block of the bucket.
     """
-    sizes = mixed.groupBy("key").agg(F.count("*").alias("size"))
-    dealt = mixed.join(sizes, "key").withColumn("part", F.pmod(F.xxhash64("node"), F.ceil(F.col("size") / BLOCK_NODES)))
-    blocks = cut(dealt.groupBy("key", "part").agg(F.collect_list(F.struct("node", "n", "comp", "inside", "bits", "keys", "seq")).alias("members")), "blocks")
-    outside = blocks.select("key", F.filter("members", lambda m: ~m["inside"]).alias("outside")).filter(F.size("outside") > 0)
+    sizes = mixed.groupBy("key").agg(F.sum(4 * F.col("n").cast("bigint") + NODE_BYTES).alias("bytes"))
+    parts = F.ceil(F.col("bytes") / BLOCK_BYTES).cast("int")
+    dealt = mixed.join(sizes, "key").withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).drop("bytes")
+    member = F.struct("node", "n", "comp", "inside", "keys", "seq")
+    blocks = cut(dealt.join(sequences, "node").groupBy("key", "part", "parts").agg(F.collect_list(member).alias("members")), "blocks")
+    outside = blocks.select("key", "parts", F.filter("members", lambda m: ~m["inside"]).alias("outside")).filter(F.size("outside") > 0)
+    outside = outside.select("key", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "outside")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            links: list[tuple[int, int, float]] = []
-            for r in batch.to_pylist():
-                links += block_links(r["key"], r["outside"], r["members"], least)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*links, strict=True) if links else ([], [], []), (pa.int64(), pa.int64(), pa.float64()), strict=True)], names=["a", "b", "similarity"])
-
-    return outside.join(blocks.select("key", "members"), "key").mapInArrow(run, "a bigint, b bigint, similarity double")
-
-
-def block_links(key: int, outside: list[dict], members: list[dict], least: float) -> list[tuple[int, int, float]]:
-    def column(rows: list[dict], name: str) -> np.ndarray:
-        return np.array([r[name] for r in rows])
-
-    if not outside:
-        return []
-    n, m = column(outside, "n")[:, None], column(members, "n")[None]
-    longer = np.maximum(n, m)
-    bits = [column(rows, "bits").astype(np.int64).view(np.uint64) for rows in (outside, members)]
-    differing = np.bitwise_count(bits[0][:, None] ^ bits[1][None]).sum(axis=-1, dtype=np.int64)
-    may = (column(outside, "comp")[:, None] != column(members, "comp")[None]) & (column(members, "inside")[None] | (column(outside, "node")[:, None] < column(members, "node")[None]))
-    may &= (np.minimum(n, m) >= least * longer - 1e-9) & (differing <= 2 * np.floor((1 - least) * longer + 1e-9))
+            for k, key in enumerate(batch.column(0).to_pylist()):
+                links = block_links(key, batch.column(1)[k].values, batch.column(2)[k].values, least)
+                yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in links], kind) for c, kind in enumerate((pa.int64(), pa.int64(), pa.float64()))], names=["a", "b", "similarity"])
+        trim()
+
+    links = cut(in_arrow(outside.join(blocks.select("key", "part", "members"), ["key", "part"]).select("key", "outside", "members"), run, "a bigint, b bigint, similarity double").dropDuplicates(["a", "b"]), "links")
+    release(blocks)
+    return links
+
+
+class Block:
+    """A block's columns as arrays."""
+
+    def __init__(self, members: pa.StructArray):
+        self.node, self.n, self.comp, self.inside = (members.field(f).to_numpy(zero_copy_only=False) for f in ("node", "n", "comp", "inside"))
+        self.n = self.n.astype(np.int64)
+        self.keys = members.field("keys").flatten().to_numpy().reshape(len(members), -1)
+        self.seq = [np.frombuffer(x, np.uint32) for x in members.field("seq").to_pylist()]
+        self.bits = bitmaps(np.concatenate(self.seq), self.n)
+
+
+def block_links(key: int, outside: pa.StructArray, members: pa.StructArray, least: float) -> list[tuple[int, int, float]]:
+    """(larger node, smaller node, similarity) of the links whose first shared bucket is ``key``."""
+    x, y = Block(outside), Block(members)
     out, linked = [], set()
-    pairs = np.argwhere(may)
-    for i, j in pairs[np.argsort(differing[may], kind="stable")].tolist():
-        x, y = outside[i], members[j]
-        if (x["node"], y["comp"]) in linked or min(set(x["keys"]) & set(y["keys"])) != key:
-            continue
-        found = similar(np.frombuffer(x["seq"], np.uint32), np.frombuffer(y["seq"], np.uint32), least)
-        if found is not None:
-            linked.add((x["node"], y["comp"]))
-            out.append((max(x["node"], y["node"]), min(x["node"], y["node"]), found))
+    for at in range(0, len(x.node), COMPARED):
+        i = slice(at, at + COMPARED)
+        longer = np.maximum(x.n[i, None], y.n[None])
+        may = (x.comp[i, None] != y.comp[None]) & (y.inside[None] | (x.node[i, None] < y.node[None]))
+        may &= np.minimum(x.n[i, None], y.n[None]) >= least * longer - 1e-9
+        most = 2 * np.floor((1 - least) * longer + 1e-9).astype(np.int32) - np.abs(x.n[i, None] - y.n[None])
+        a, b = np.nonzero(may)
+        a += at
+        differing = np.concatenate([np.bitwise_count(x.bits[a[k:k + 4096]] ^ y.bits[b[k:k + 4096]]).sum(axis=-1, dtype=np.int32) for k in range(0, max(1, len(a)), 4096)])
+        near = differing <= most[a - at, b]
+        a, b, differing = a[near], b[near], differing[near]
+        shared = np.where(x.keys[a] == y.keys[b], x.keys[a], np.iinfo(np.int64).max).min(axis=1, initial=np.iinfo(np.int64).max)
+        for k in np.argsort(np.where(shared == key, differing, -1), kind="stable").tolist():
+            p, q = int(a[k]), int(b[k])
+            if shared[k] != key or (p, y.comp[q]) in linked:
+                continue
+            found = similar(x.seq[p], y.seq[q], least)
+            if found is not None:
+                linked.add((p, y.comp[q]))
+                out.append((max(int(x.node[p]), int(y.node[q])), min(int(x.node[p]), int(y.node[q])), found))
     return out
 
 
-def small_list(nodes: DataFrame) -> DataFrame:
-    """A written one-column list, for a broadcast if it is short enough."""
-    nodes = cut(nodes, "nodes")
-    return F.broadcast(nodes) if nodes.count() <= BROADCAST_NODES else nodes
+def if_small(df: DataFrame, rows: int) -> DataFrame:
+    """A broadcast of a thin table of so many rows, if it is short enough."""
+    return F.broadcast(df) if rows <= BROADCAST_NODES else df
+
+
+def component_table(links: DataFrame, before: DataFrame | None = None) -> DataFrame:
+    """node, comp of all nodes with links; ``before``: the components that the links join."""
+    comps = cut(connected_components(links.select("a", "b")).withColumnRenamed("component", "comp"), "comps", 2 * links.count())
+    if before is None:
+        return comps
+    moved = before.join(comps.select(F.col("node").alias("comp"), F.col("comp").alias("to")), "comp", "left").select("node", F.coalesce("to", "comp").alias("comp"))
+    new = cut(moved.unionByName(comps.join(before.select(F.col("comp").alias("node")).distinct(), "node", "left_anti")), "comps", before.count() + comps.count())
+    release(comps)
+    return new
 
 
 def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILARITY) -> DataFrame:
-    """doc_id, class_id, class_size, n_verified (links that were aligned; copies count once), row_id."""
+    """doc_id, mark, class_id, class_size, n_verified (links that were aligned; copies count once), comp."""
     rows = cut(sketched(docs, id_col, text_col), "sketches")
-    whole = rows.groupBy("h1", "h2").agg(F.min("row_id").alias("node"))
-    whole = cut(whole, "whole")
-    nodes = rows.join(whole.select(F.col("node").alias("row_id")), "row_id", "left_semi")
-    buckets = cut(nodes.select(F.col("row_id").alias("node"), "n", F.explode("keys").alias("key")), "buckets")
-    several = buckets.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
-    held = cut(buckets.join(several, "key"), "held")  # buckets of at least two nodes
-    release(buckets)
+    whole = cut(rows.groupBy("h1", "h2").agg(F.min("row_id").alias("node"), F.min("doc_id").alias("least_id"), F.count("*").alias("copies")), "whole", rows.count())
+    n_nodes = whole.count()
+    nodes = rows.join(if_small(whole.select(F.col("node").alias("row_id")), n_nodes), "row_id", "left_semi").withColumnRenamed("row_id", "node")
+    buckets = nodes.select("node", "n", F.explode("keys").alias("key"))
+    several = cut(buckets.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1"), "several", n_nodes * SKETCHES // 2)
+    n_keys = several.count()
+    held = cut(buckets.join(if_small(several, n_keys), "key"), "held", n_nodes * SKETCHES)  # buckets of at least two nodes
+    release(several)
     support = held.groupBy("node").agg(F.sum("size").alias("support"))
-    ranked = held.join(support, "node").select("key", "node", "n", _rank(F.col("support"), F.col("node")).alias("rank"))
-    ranked = cut(ranked, "ranked")
-    release(held)
+    ranked = held.join(support, "node").withColumn("rank", _rank(F.col("support"), F.col("node"))).drop("support")
     first = ranked.groupBy("key").agg(F.max("rank").alias("best")).select("key", _node_of(F.col("best")).alias("first"))
-    shared = cut(ranked.drop("rank").join(first, "key"), "shared")
-    release(ranked)
-
-    stars = cut(shared.filter("node <> first").select(F.col("node").alias("a"), F.col("first").alias("b")).distinct(), "stars")
-    suspects = small_list(shared.select("node").distinct())
-    sequences = cut(nodes.select(F.col("row_id").alias("node"), "seq", "bits", "keys").join(suspects, "node", "left_semi"), "sequences")
+    shared = cut(held.join(if_small(first, n_keys), "key"), "shared", held.count())
+    release(held)
+    n_shared = shared.count()
+    sequences = cut(nodes.select("node", "seq", "keys").join(if_small(shared.select("node").distinct(), n_shared), "node", "left_semi"), "sequences")
+    stars = shared.filter("node <> first").select(F.col("node").alias("a"), F.col("first").alias("b")).distinct()
     links = cut(aligned(stars, sequences, least), "links")
-    comps = cut(connected_components(links.select("a", "b")), "comps")
-
-    placed = shared.join(comps, "node", "left").withColumn("comp", F.coalesce("component", "node")).drop("component")
-    placed = cut(placed.join(comps.select(F.col("node").alias("first"), F.col("component").alias("c0")), "first", "left").select("key", "node", "n", "comp", F.coalesce("c0", "first").alias("c0")), "placed")
-    release(shared)
-    outside = placed.filter("comp <> c0")
-    mixed = placed.join(outside.select("key").distinct(), "key", "left_semi").withColumn("inside", F.col("comp") == F.col("c0")).drop("c0")
-    mixed = cut(mixed.join(sequences, "node"), "mixed")
-    more = cut(across(mixed, least), "links")
-    for done in (sequences, placed, mixed):
-        release(done)
+    comps = component_table(links)
+    to = if_small(comps, comps.count())
+    placed = shared.join(to, "node", "left").join(to.select(F.col("node").alias("first"), F.col("comp").alias("c0")), "first", "left")
+    placed = placed.select("key", "node", "n", F.coalesce("comp", "node").alias("comp"), F.coalesce("c0", "first").alias("c0"))
+    several = if_small(placed.filter("comp <> c0").select("key").distinct(), n_keys)  # buckets of several components
+    mixed = cut(placed.join(several, "key", "left_semi").withColumn("inside", F.col("comp") == F.col("c0")).drop("c0"), "mixed", n_shared)
+    more = across(mixed, sequences, least)
     if not more.isEmpty():
-        links = links.unionByName(more)
-        comps = cut(connected_components(links.select("a", "b")), "comps")
+        a, b = (to.select(F.col("node").alias(x), F.col("comp").alias(f"to_{x}")) for x in "ab")
+        old = comps
+        comps = component_table(more.join(a, "a", "left").join(b, "b", "left").select(F.coalesce("to_a", "a").alias("a"), F.coalesce("to_b", "b").alias("b")), comps)
+        release(old)
+    parts = [links, more]
+    links = links.unionByName(more)
 
     degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_verified"))
-    members = rows.select("doc_id", "row_id", "h1", "h2").join(whole, ["h1", "h2"]).join(comps, "node", "left").join(degree, "node", "left").select("doc_id", "row_id", F.coalesce("component", "node").alias("comp"), F.coalesce("n_verified", F.lit(0)).alias("n_verified"))
-    members = cut(members, "members")
-    classes = members.groupBy("comp").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"))
-    return members.join(classes, "comp").select("doc_id", "class_id", "class_size", "n_verified", "row_id")
+    placed = whole.join(comps, "node", "left").join(degree, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    classes = placed.groupBy("comp").agg(F.min("least_id").alias("class_id"), F.sum("copies").alias("class_size"))
+    of = placed.join(classes, "comp").select("h1", "h2", "comp", "class_id", "class_size", F.coalesce("n_verified", F.lit(0)).alias("n_verified"))
+    out = cut(rows.select("doc_id", "mark", "h1", "h2").join(of, ["h1", "h2"]).drop("h1", "h2"), "classes")
+    for done in (rows, whole, shared, sequences, mixed, comps, *parts):
+        release(done)
+    return out
 
 
 def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_classes(table(spark, sf_dir, "documents")).drop("row_id")
+    return near_classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "class_size", "n_verified")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILARITY) -> DataFrame:
-    """``docs`` with one row of each class: that of the least id (null ids last)."""
-    numbered = cut(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
-    classes = near_classes(numbered.select(F.col("__row").alias("id"), F.col(text_col).alias("text")), "id", "text", least)
-    several = cut(classes.filter("class_size > 1").select(F.col("doc_id").alias("__row"), F.col("class_id").alias("__class")), "several")
-    own = numbered.select("__row", F.col(id_col).alias("__id")).join(several, "__row")
-    best = own.groupBy("__class").agg(F.min("__id").alias("__best"))
-    stay = own.join(best, "__class").filter("__id <=> __best").groupBy("__class").agg(F.min("__row").alias("__row"))
-    drop = small_list(several.join(stay.select("__row"), "__row", "left_anti").select("__row"))
-    return numbered.join(drop, "__row", "left_anti").select(*docs.columns)
+    """``docs`` with one row of each class: that of the least id (null ids last).
+
+    Of several rows with that id, one with the text of least hash stays. Names of columns
+    that the operator adds are new ones, so columns of any name pass through.
+    """
+    classes = near_classes(docs, id_col, text_col, least)
+    several = classes.filter("class_size > 1").select("comp", "class_id", "doc_id", "mark")
+    best = several.filter(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy("comp").agg(F.min("mark").alias("best"))
+    fate = several.join(best, "comp").groupBy("doc_id", "mark").agg(
+        F.max((F.col("doc_id").eqNullSafe(F.col("class_id")) & (F.col("mark") == F.col("best"))).cast("int")).alias("stays"), F.count("*").alias("rows")
+    )
+    fate = cut(fate.filter("stays = 0 or rows > 1"), "fates", several.count())
+    release(classes)
+    id_, mark, of_id, of_mark, stays, place = new_names(docs.columns, 6)
+    fate = if_small(fate.select(F.col("doc_id").alias(of_id), F.col("mark").alias(of_mark), F.col("stays").alias(stays)), fate.count())
+    named = docs.select("*", F.col(f"`{id_col}`").cast("bigint").alias(id_), text_mark(F.col(f"`{text_col}`")).alias(mark))
+    marked = named.join(fate, F.col(id_).eqNullSafe(F.col(of_id)) & (F.col(mark) == F.col(of_mark)), "left")
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    once = Window.partitionBy(id_, mark).orderBy(F.lit(0))
+    repeated = marked.filter(F.col(stays) == 1).withColumn(place, F.row_number().over(once)).filter(F.col(place) == 1)
+    return marked.filter(F.col(stays).isNull()).select(*columns).unionByName(repeated.select(*columns))
