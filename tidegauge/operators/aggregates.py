@@ -12,7 +12,7 @@ from pyspark.sql.window import Window
 from tidegauge.functions.rates import nearest_rank, percent
 from tidegauge.functions.times import DAY, day_start, kst_date
 from tidegauge.operators import checks
-from tidegauge.operators.versions import exact_versions, latest, latest_reviews
+from tidegauge.operators.versions import latest, latest_reviews
 
 QUARTILES, OPEN_BAND = (0.25, 0.5, 0.75), 4
 
@@ -30,7 +30,8 @@ def daily_stat(reviews: DataFrame, strict: bool = False) -> DataFrame:
         if not reviews.filter(checks.invalid_review()).isEmpty():
             raise ValueError("invalid review rows")
         checks.assert_no_conflicts(reviews, ["recommendationid", "updated_ts", "collected_ts"], ["appid", "voted_up", "created_ts"])
-    dated = exact_versions(reviews).withColumn("stat_date", kst_date("updated_ts")).withColumn("is_new", kst_date("created_ts") == kst_date("updated_ts"))
+    # The day's last version by (updated, collected) is also the last collected of its time.
+    dated = reviews.withColumn("stat_date", kst_date("updated_ts")).withColumn("is_new", kst_date("created_ts") == kst_date("updated_ts"))
     last = latest(dated, ["appid", "recommendationid", "stat_date"], [F.desc("updated_ts"), F.desc("collected_ts")])
     up, new = F.col("voted_up"), F.col("is_new")
     return last.groupBy("appid", "stat_date").agg(
@@ -89,33 +90,55 @@ def band_topic_stat(reviews: DataFrame, topics: DataFrame, bands: DataFrame) ->
     return placed.join(hits, ["appid", "recommendationid", "updated_ts"]).groupBy("appid", "band_no", "topic_id").agg(n_if(F.col("voted_up")).alias("positive_count"), n_if(~F.col("voted_up")).alias("negative_count"))
 
 
+def window_counts(reviews: DataFrame, days: int = 7) -> DataFrame:
+    """appid, end_day, count, positive: of each window of ``days`` days that ends before a day,
+    the reviews whose latest version inside the window is on one of its days.
+
+    A day's last version of a review counts in the windows that end after it, up to the review's
+    next day and ``days`` days on: a few rows a version, whatever the number of patches, and no
+    range join. Windows without reviews have no row.
+    """
+    dated = reviews.withColumn("day", kst_date("updated_ts"))
+    last = latest(dated, ["appid", "recommendationid", "day"], [F.desc("updated_ts"), F.desc("collected_ts")])
+    then = F.lead("day").over(Window.partitionBy("appid", "recommendationid").orderBy("day"))
+    upto = F.least(F.coalesce(then, F.date_add("day", days)), F.date_add("day", days))
+    ends = last.withColumn("upto", upto).select("appid", "voted_up", F.explode(F.sequence(F.date_add("day", 1), F.col("upto"))).alias("end_day"))
+    return ends.groupBy("appid", "end_day").agg(F.count("*").alias("count"), n_if(F.col("voted_up")).alias("positive"))
+
+
 def patch_stat(reviews: DataFrame, patches: DataFrame, coverage_start: int, coverage_end: int, run_at: int, days: int = 7) -> DataFrame:
     """Counts and rates of the ``days`` days before and after each patch's day.
 
     A patch whose windows aren't fully covered, or not yet over, has no row. The latest
     version inside a window counts, of what was collected by the time of the run. Reviews of
-    games without a patch are dropped before the range join.
+    games without a patch are dropped first; windows are counted once per game and day and
+    then looked up, before by the patch's day and after by the day ``days`` on.
     """
-    start = day_start(kst_date("published_ts"))
-    span = F.lit(days * DAY)
+    start, span = day_start(kst_date("published_ts")), F.lit(days * DAY)
     windows = (
-        patches.filter("published_ts is not null").select("gid", F.col("appid").alias("w_appid"), start.alias("day0"))
+        patches.filter("published_ts is not null").select("gid", "appid", kst_date("published_ts").alias("day"), start.alias("day0"))
         .filter((F.col("day0") - span >= coverage_start) & (F.col("day0") + span <= F.lit(min(coverage_end, run_at))))
     )
-    periods = windows.select("gid", "w_appid", F.explode(F.array(
-        F.struct(F.lit("before").alias("period"), (F.col("day0") - span).alias("a"), F.col("day0").alias("b")),
-        F.struct(F.lit("after").alias("period"), F.col("day0").alias("a"), (F.col("day0") + span).alias("b")),
-    )).alias("p")).select("gid", "w_appid", "p.*")
-    seen = reviews.filter(F.col("collected_ts") <= run_at).join(windows.select(F.col("w_appid").alias("appid")).distinct(), "appid", "left_semi")
-    inside = seen.join(periods, (F.col("appid") == F.col("w_appid")) & (F.col("updated_ts") >= F.col("a")) & (F.col("updated_ts") < F.col("b")))
-    last = latest(inside, ["gid", "period", "recommendationid"], [F.desc("updated_ts"), F.desc("collected_ts")])
-    of = lambda p, c=None: n_if((F.col("period") == p) & (c if c is not None else F.lit(True)))
-    up = F.col("voted_up")
-    counts = last.groupBy("gid").agg(of("before").alias("before_count"), of("before", up).alias("before_positive"), of("after").alias("after_count"), of("after", up).alias("after_positive"))
-    out = windows.join(counts, "gid", "left").fillna(0, ["before_count", "before_positive", "after_count", "after_positive"])
+    seen = reviews.filter(F.col("collected_ts") <= run_at).join(windows.select("appid").distinct(), "appid", "left_semi")
+    counts = window_counts(seen, days)
+    of = lambda name: counts.select("appid", F.col("end_day").alias(f"{name}_end"), F.col("count").alias(f"{name}_count"), F.col("positive").alias(f"{name}_positive"))
+    out = windows.withColumn("before_end", F.col("day")).withColumn("after_end", F.date_add("day", days)).join(of("before"), ["appid", "before_end"], "left").join(of("after"), ["appid", "after_end"], "left")
+    out = out.fillna(0, ["before_count", "before_positive", "after_count", "after_positive"])
     before, after = percent(F.col("before_positive"), F.col("before_count")), percent(F.col("after_positive"), F.col("after_count"))
     return out.select(
-        "gid", F.col("w_appid").alias("appid"), "before_count", "before_positive", "after_count", "after_positive",
+        "gid", "appid", "before_count", "before_positive", "after_count", "after_positive",
         F.round(before, 2).alias("before_pct"), F.round(after, 2).alias("after_pct"), F.round(after - before, 2).alias("delta_pct"),
         (F.round(after, 2) - F.round(before, 2)).alias("delta_pp"),
     )
+
+
+def value_counts(rows: DataFrame, by: str, columns: list[str]) -> DataFrame:
+    """column_name, value, n per value of ``by``, and over all where ``by`` is null.
+
+    ``by`` must not be null itself. One pass: rows become a few (column, value) pairs, counted
+    before they are shuffled.
+    """
+    pairs = F.explode(F.array(*(F.struct(F.lit(c).alias("column_name"), F.col(c).cast("string").alias("value")) for c in columns)))
+    counted = rows.select(by, pairs.alias("x")).groupBy(by, "x.column_name", "x.value").agg(F.count("*").alias("n"))
+    whole = counted.groupBy("column_name", "value").agg(F.sum("n").alias("n")).withColumn(by, F.lit(None).cast(rows.schema[by].dataType))
+    return counted.unionByName(whole)

@@ -1,7 +1,9 @@
 """Facts of a day series, and what follows a patch.
 
 days: one row per (appid, stat_date) with reviews and positives. Moving ratios run over
-rows, so a series with missing days should be gap-filled first.
+rows, so a series with missing days should be gap-filled first. What follows a patch is read
+from its game's series as one array, sorted by day: its length is bounded by the calendar
+(some 120 KB for twenty years), so there is no range join and no row per patch and day.
 """
 
 from __future__ import annotations
@@ -39,14 +41,23 @@ def moving_ratio(days: DataFrame, rows: int = ROWS, least: int = 1) -> DataFrame
     return days.withColumn("ahead", F.when((n > 0) & (n >= least), F.sum("positives").over(w) / n))
 
 
+def series(days: DataFrame, *columns: str) -> DataFrame:
+    """appid and ``days``: the game's days in order, as structs of stat_date and ``columns``."""
+    return days.groupBy(F.col("appid").alias("s_appid")).agg(F.array_sort(F.collect_list(F.struct("stat_date", *columns))).alias("days"))
+
+
 def effect(days: DataFrame, patches: DataFrame, n: int = 7) -> DataFrame:
-    """Ratios of the n days before and from a patch's day on, and their difference."""
-    p = patches.select("gid", F.col("appid").alias("p_appid"), "patch_date")
-    inside = days.join(p, (F.col("appid") == F.col("p_appid")) & (F.col("stat_date") >= F.date_sub("patch_date", n)) & (F.col("stat_date") < F.date_add("patch_date", n)))
-    early = F.col("stat_date") < F.col("patch_date")
-    s = lambda c, cond: F.sum(F.when(cond, F.col(c)).otherwise(0))
-    ratio = lambda cond: F.when(s("reviews", cond) > 0, s("positives", cond) / s("reviews", cond))
-    return inside.groupBy("gid", "appid", "patch_date").agg(ratio(early).alias("before"), ratio(~early).alias("after")).withColumn("delta", F.col("after") - F.col("before"))
+    """Ratios of the n days before and from a patch's day on, and their difference.
+
+    A day counts in the n windows that end after it; a patch looks up the two that end on its
+    day and n days on.
+    """
+    ends = days.select("appid", "reviews", "positives", F.explode(F.sequence(F.date_add("stat_date", 1), F.date_add("stat_date", n))).alias("end_day"))
+    sums = ends.groupBy("appid", "end_day").agg(F.sum("reviews").alias("reviews"), F.sum("positives").alias("positives"))
+    of = lambda name: sums.select("appid", F.col("end_day").alias(f"{name}_end"), F.lit(True).alias(f"{name}_is"), F.when(F.col("reviews") > 0, F.col("positives") / F.col("reviews")).alias(name))
+    p = patches.select("gid", "appid", "patch_date").withColumn("before_end", F.col("patch_date")).withColumn("after_end", F.date_add("patch_date", n))
+    out = p.join(of("before"), ["appid", "before_end"], "left").join(of("after"), ["appid", "after_end"], "left").filter("before_is or after_is")
+    return out.select("gid", "appid", "patch_date", "before", "after").withColumn("delta", F.col("after") - F.col("before"))
 
 
 def with_via(out: DataFrame, patches: DataFrame, until: str) -> DataFrame:
@@ -62,13 +73,13 @@ def recovery(days: DataFrame, effects: DataFrame, least: int = LOW_DAY_REVIEWS)
     Windows of under ``least`` reviews don't count. pct_of_before is that day's ratio as a
     percentage of before (999 at most), without recovery the best one's.
     """
-    drops = effects.filter("delta < 0").select("gid", F.col("appid").alias("p_appid"), "patch_date", "before")
-    ahead = moving_ratio(days, least=least)
-    after = drops.join(ahead, (F.col("appid") == F.col("p_appid")) & (F.col("stat_date") >= F.col("patch_date")))
-    back = F.col("ahead") >= RECOVERED * F.col("before")
-    out = after.groupBy("gid", "p_appid", "patch_date", "before").agg(F.min(F.when(back, F.col("stat_date"))).alias("recovered_on"), F.min_by("ahead", F.when(back, F.col("stat_date"))).alias("then"), F.max("ahead").alias("best"))
-    pct = F.least(F.round(100 * F.coalesce("then", "best") / F.col("before")), F.lit(999)).cast("int")
-    return out.select("gid", F.col("p_appid").alias("appid"), "patch_date", "recovered_on", F.date_diff("recovered_on", "patch_date").alias("days"), pct.alias("pct_of_before"))
+    drops = effects.filter("delta < 0").select("gid", "appid", "patch_date", "before")
+    of = series(moving_ratio(days, least=least), "ahead")
+    after = drops.join(of, F.col("appid") == F.col("s_appid")).withColumn("days", F.filter("days", lambda d: d["stat_date"] >= F.col("patch_date"))).filter(F.size("days") > 0)
+    back = F.get(F.filter("days", lambda d: d["ahead"] >= RECOVERED * F.col("before")), F.lit(0))
+    out = after.select("gid", "appid", "patch_date", "before", back.alias("back"), F.array_max(F.transform("days", lambda d: d["ahead"])).alias("best"))
+    pct = F.least(F.round(100 * F.coalesce("back.ahead", "best") / F.col("before")), F.lit(999)).cast("int")
+    return out.select("gid", "appid", "patch_date", F.col("back.stat_date").alias("recovered_on"), F.date_diff("back.stat_date", "patch_date").alias("days"), pct.alias("pct_of_before"))
 
 
 def hold(days: DataFrame, effects: DataFrame, least: int = LOW_DAY_REVIEWS) -> DataFrame:
@@ -78,13 +89,14 @@ def hold(days: DataFrame, effects: DataFrame, least: int = LOW_DAY_REVIEWS) -> D
     null if it never did; ``peak_after`` that of the whole rest of the series; ``held_until`` is
     the last day held.
     """
-    rises = effects.filter("delta > 0").select("gid", F.col("appid").alias("p_appid"), "patch_date", "before")
-    ahead = moving_ratio(days, least=least).filter("ahead is not null")
-    after = rises.join(ahead, (F.col("appid") == F.col("p_appid")) & (F.col("stat_date") >= F.col("patch_date")))
-    w = Window.partitionBy("gid").orderBy("stat_date")
-    over = F.col("ahead") <= F.col("before")
-    run = after.withColumn("rn", F.row_number().over(w)).withColumn("held", F.max(over).over(w) == F.lit(False))
-    return run.groupBy("gid", F.col("p_appid").alias("appid"), "patch_date").agg(F.coalesce(F.min(F.when(over, F.col("rn"))) - 1, F.count("*")).cast("bigint").alias("days_held"), F.max(F.when(F.col("held"), F.col("ahead"))).alias("peak"), F.max("ahead").alias("peak_after"), F.max(F.when(F.col("held"), F.col("stat_date"))).alias("held_until"), (F.count_if(over) == 0).alias("to_the_end"))
+    rises = effects.filter("delta > 0").select("gid", "appid", "patch_date", "before")
+    of = series(moving_ratio(days, least=least).filter("ahead is not null"), "ahead")
+    after = rises.join(of, F.col("appid") == F.col("s_appid")).withColumn("days", F.filter("days", lambda d: d["stat_date"] >= F.col("patch_date"))).filter(F.size("days") > 0)
+    ends = F.array_position(F.transform("days", lambda d: d["ahead"] <= F.col("before")), True)
+    run = after.withColumn("ends", ends).withColumn("n", F.when(F.col("ends") > 0, F.col("ends") - 1).otherwise(F.size("days")).cast("bigint"))
+    held = F.slice("days", F.lit(1), F.col("n").cast("int"))
+    best = lambda a: F.array_max(F.transform(a, lambda d: d["ahead"]))
+    return run.select("gid", "appid", "patch_date", F.col("n").alias("days_held"), best(held).alias("peak"), best(F.col("days")).alias("peak_after"), F.get(held, F.col("n").cast("int") - 1)["stat_date"].alias("held_until"), (F.col("ends") == 0).alias("to_the_end"))
 
 
 def surge(days: DataFrame, patches: DataFrame, n: int = 7) -> DataFrame:
@@ -93,11 +105,12 @@ def surge(days: DataFrame, patches: DataFrame, n: int = 7) -> DataFrame:
     surged: the mean is at least 1.2 of the base and the first day at least 1.5 of it.
     """
     w = Window.partitionBy("appid").orderBy("patch_date", "gid")
-    p = patches.withColumn("next_date", F.lead("patch_date").over(w)).select("gid", F.col("appid").alias("p_appid"), "patch_date", "next_date")
-    near = days.join(p, (F.col("appid") == F.col("p_appid")) & (F.col("stat_date") >= F.date_sub("patch_date", n)) & (F.col("stat_date") < F.date_add("patch_date", n)))
-    early, late = F.col("stat_date") < F.col("patch_date"), (F.col("stat_date") >= F.col("patch_date")) & (F.col("next_date").isNull() | (F.col("stat_date") < F.col("next_date")))
-    base = near.groupBy("gid", "p_appid", "patch_date").agg(F.avg(F.when(early, F.col("reviews"))).alias("base"), F.avg(F.when(late, F.col("reviews"))).alias("mean_after")).filter("base > 0")
-    after = near.filter(late).join(base.select("gid", "base"), "gid").withColumn("rn", F.row_number().over(Window.partitionBy("gid").orderBy("stat_date")))
-    runs = after.groupBy("gid").agg(F.coalesce(F.min(F.when(F.col("reviews") < SURGE_DAY * F.col("base"), F.col("rn"))) - 1, F.count("*")).cast("bigint").alias("run_days"))
-    out = base.join(runs, "gid", "left").fillna(0, ["run_days"]).withColumn("ratio", F.col("mean_after") / F.col("base"))
-    return out.select("gid", F.col("p_appid").alias("appid"), "patch_date", "base", "ratio", "run_days", (F.coalesce(F.col("ratio") >= SURGE_MEAN, F.lit(False)) & (F.col("run_days") >= 1)).alias("surged"))
+    p = patches.withColumn("next_date", F.lead("patch_date").over(w)).select("gid", "appid", "patch_date", "next_date")
+    near = p.join(series(days, "reviews"), F.col("appid") == F.col("s_appid"))
+    early = F.filter("days", lambda d: (d["stat_date"] < F.col("patch_date")) & (d["stat_date"] >= F.date_sub("patch_date", n)))
+    late = F.filter("days", lambda d: (d["stat_date"] >= F.col("patch_date")) & (d["stat_date"] < F.date_add("patch_date", n)) & (F.col("next_date").isNull() | (d["stat_date"] < F.col("next_date"))))
+    mean = lambda c: F.when(F.size(c) > 0, F.aggregate(c, F.lit(0).cast("bigint"), lambda x, d: x + d["reviews"]) / F.size(c))
+    out = near.select("gid", "appid", "patch_date", early.alias("early"), late.alias("late")).withColumn("base", mean(F.col("early"))).filter("base > 0")
+    slow = F.array_position(F.transform("late", lambda d: d["reviews"] < SURGE_DAY * F.col("base")), True)
+    out = out.withColumn("ratio", mean(F.col("late")) / F.col("base")).withColumn("run_days", F.when(slow > 0, slow - 1).otherwise(F.size("late")).cast("bigint"))
+    return out.select("gid", "appid", "patch_date", "base", "ratio", "run_days", (F.coalesce(F.col("ratio") >= SURGE_MEAN, F.lit(False)) & (F.col("run_days") >= 1)).alias("surged"))

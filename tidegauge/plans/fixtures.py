@@ -26,14 +26,29 @@ class Tables:
         return e.withColumn("created_ts", F.min("updated_ts").over(Window.partitionBy("recommendationid")))
 
     def patches(self) -> DataFrame:
-        return self.raw("events").filter("event_type = 'signup' and event_id % 10 = 0").select(F.col("event_id").alias("gid"), (F.col("user_id") % 12).alias("appid"), ntz_seconds("ts").alias("published_ts"))
+        return self.raw("events").filter("event_type = 'signup'").select(F.col("event_id").alias("gid"), (F.col("user_id") % 12).alias("appid"), ntz_seconds("ts").alias("published_ts"))
 
-    def playtimes(self) -> DataFrame:
-        """Reviews with playtime and language, one version each, from documents and labels."""
+    def playtime_versions(self) -> DataFrame:
+        """Versions of reviews with playtime and language, one to three each, from documents and labels.
+
+        The oldest of several arrives last; some of the latest lack a playtime or have a wrong one.
+        """
         d, q = self.raw("documents"), self.raw("labels").select("doc_id", "quality")
-        joined = d.join(q, "doc_id", "left")
+        joined = d.join(q, "doc_id", "left").withColumn("k", F.explode(F.sequence(F.lit(0), (F.col("doc_id") % 3).cast("int"))))
         ts = F.lit(1_700_000_000) + F.col("doc_id") * 60
-        return joined.select(F.substr("source", F.lit(4)).cast("bigint").alias("appid"), F.col("doc_id").alias("recommendationid"), F.col("n_chars").cast("int").alias("playtime"), F.col("lang").alias("language_code"), (F.coalesce("quality", F.lit(0)) == 1).alias("voted_up"), ts.alias("updated_ts"), ts.alias("created_ts"), (ts + 10).alias("collected_ts"), (F.col("n_chars") % 97).alias("votes_up"))
+        playtime = F.when(F.col("k") == F.col("doc_id") % 3, F.when(F.col("doc_id") % 37 == 2, F.lit(None)).when(F.col("doc_id") % 41 == 4, -1).otherwise(F.col("n_chars"))).otherwise(F.col("n_chars") + 1000 * (F.col("k") + 1))
+        return joined.select(
+            F.substr("source", F.lit(4)).cast("bigint").alias("appid"), F.col("doc_id").alias("recommendationid"), playtime.cast("int").alias("playtime"),
+            F.when(F.col("doc_id") % 23 == 5, "koreana").otherwise(F.when(F.col("k") < F.col("doc_id") % 3, "unknown").otherwise(F.col("lang"))).alias("language_code"),
+            ((F.coalesce("quality", F.lit(0)) + F.col("doc_id") % 3 - F.col("k")) % 2 == 1).alias("voted_up"), (ts + F.col("k") * 7200).alias("updated_ts"), ts.alias("created_ts"),
+            (ts + F.when(F.col("k") == 0, 100_000).otherwise(F.col("k") * 7200 + 10)).alias("collected_ts"), (F.col("n_chars") % 97).alias("votes_up"),
+        )
+
+    def playtimes(self) -> DataFrame:
+        """The latest version of each of those reviews."""
+        from tidegauge.operators.versions import latest_reviews
+
+        return latest_reviews(self.playtime_versions())
 
     def topics(self) -> DataFrame:
         """Topic assignments of those reviews."""
@@ -75,8 +90,9 @@ class Tables:
 #: Common table expressions of the same relations.
 SQL = {
     "r": "select user_id % 12 appid, user_id recommendationid, cast(floor(epoch(ts)) as bigint) updated_ts, event_id collected_ts, value < 60 voted_up, event_type, event_id, value, min(cast(floor(epoch(ts)) as bigint)) over (partition by user_id) created_ts from events",
-    "pt": "select event_id gid, user_id % 12 appid, cast(floor(epoch(ts)) as bigint) published_ts from events where event_type = 'signup' and event_id % 10 = 0",
-    "p": "select cast(substr(source, 4) as bigint) appid, doc_id recommendationid, cast(n_chars as int) playtime, lang language_code, coalesce(quality, 0) = 1 voted_up, 1700000000 + doc_id * 60 updated_ts, 1700000000 + doc_id * 60 created_ts, 1700000010 + doc_id * 60 collected_ts, n_chars % 97 votes_up from documents left join (select doc_id, quality from labels) using (doc_id)",
+    "pt": "select event_id gid, user_id % 12 appid, cast(floor(epoch(ts)) as bigint) published_ts from events where event_type = 'signup'",
+    "pv": "select cast(substr(source, 4) as bigint) appid, doc_id recommendationid, cast(case when k < doc_id % 3 then n_chars + 1000 * (k + 1) when doc_id % 37 = 2 then null when doc_id % 41 = 4 then -1 else n_chars end as int) playtime, case when doc_id % 23 = 5 then 'koreana' when k < doc_id % 3 then 'unknown' else lang end language_code, (coalesce(quality, 0) + doc_id % 3 - k) % 2 = 1 voted_up, 1700000000 + doc_id * 60 + k * 7200 updated_ts, 1700000000 + doc_id * 60 created_ts, 1700000000 + doc_id * 60 + case when k = 0 then 100000 else k * 7200 + 10 end collected_ts, n_chars % 97 votes_up from documents left join (select doc_id, quality from labels) using (doc_id), (values (0), (1), (2)) ks(k) where k <= doc_id % 3",
+    "p": "select * from pv qualify row_number() over (partition by appid, recommendationid order by updated_ts desc, collected_ts desc) = 1",
     "t": "select cast(substr(source, 4) as bigint) appid, doc_id recommendationid, 1700000000 + doc_id * 60 updated_ts, topic_id from documents left join labels using (doc_id), (values (1), (2), (3), (4), (5)) k(topic_id) where case topic_id when 1 then quality = 1 when 2 then toxic = 1 when 3 then contains(text, 'the') when 4 then contains(text, 'en') else n_chars > 2000 end",
     "g": "select c_custkey appid, c_name title, c_mktsegment developer, c_acctbal price, c_nationkey nation, coalesce(review_count, 0) review_count, case when review_count > 0 then round(100.0 * cast(good as double) / review_count, 2) end positive_rate from customer left join (select o_custkey, count(*) review_count, count(*) filter (o_orderstatus = 'F') good from orders group by 1) o on o_custkey = c_custkey",
     "tg": "select o_custkey appid, o_orderpriority tag, count(*) weight from orders group by 1, 2",
@@ -93,7 +109,7 @@ SQL = {
     "ef": "select gid, appid, patch_date, b before, a after, a - b delta from (select p.gid, p.appid, p.patch_date, sum(positives) filter (d.stat_date < patch_date) / nullif(cast(sum(reviews) filter (d.stat_date < patch_date) as double), 0) b, sum(positives) filter (d.stat_date >= patch_date) / nullif(cast(sum(reviews) filter (d.stat_date >= patch_date) as double), 0) a from pd p join dy d on d.appid = p.appid and d.stat_date >= p.patch_date - 7 and d.stat_date < p.patch_date + 7 group by 1, 2, 3)",
     "mv": "select *, sum(positives) over w / nullif(cast(sum(reviews) over w as double), 0) ahead from dy window w as (partition by appid order by stat_date rows between current row and 6 following)",
 }
-NEEDS = {"v1": "r", "v2": "r v1", "ds": "r v1 v2", "dy": "r v1 v2 ds", "pd": "pt", "bb": "p", "bd": "p bb", "pb": "p bb bd", "ef": "r v1 v2 ds dy pt pd", "mv": "r v1 v2 ds dy"}
+NEEDS = {"p": "pv", "v1": "r", "v2": "r v1", "ds": "r v1 v2", "dy": "r v1 v2 ds", "pd": "pt", "bb": "pv p", "bd": "pv p bb", "pb": "pv p bb bd", "ef": "r v1 v2 ds dy pt pd", "mv": "r v1 v2 ds dy"}
 
 
 def with_(names: str, query: str) -> str:
