@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidegauge.functions.rates import outcome, similarity_score
-from tidegauge.functions.vectors import cosine
+from tidegauge.functions.vectors import dot, norm, normalised
 from tidegauge.operators.versions import latest
 
 #: Query vectors of a block, about: each block is broadcast.
@@ -30,8 +30,9 @@ def nearest(candidates: DataFrame, queries: DataFrame, k: int = 30) -> DataFrame
 
 
 def _nearest(candidates: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    q = queries.select("slot", F.col("vector").alias("qv"))
-    scored = candidates.join(F.broadcast(q), F.size("vector") == F.size("qv")).withColumn("cosine", cosine(F.col("vector"), F.col("qv"))).filter("cosine is not null")
+    q = queries.filter(norm(F.col("vector")) > 0).select("slot", normalised(F.col("vector")).alias("qv"))
+    units = candidates.filter(norm(F.col("vector")) > 0).withColumn("vector", normalised(F.col("vector")))
+    scored = units.join(F.broadcast(q), F.size("vector") == F.size("qv")).withColumn("cosine", dot(F.col("vector"), F.col("qv")))
     w = Window.partitionBy("slot").orderBy(F.desc("cosine"), F.asc("id"))
     return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).drop("vector", "qv")
 
@@ -97,5 +98,5 @@ def best_pair(plan_slots: DataFrame, changes: DataFrame, weights: dict[str, int]
     """Per case the (slot, change) pair of the highest weighted equality; the first pair wins ties."""
     score = sum((F.when(F.col(f"p_{c}") == F.col(c), F.lit(w)).otherwise(0) for c, w in weights.items()), F.lit(0))
     slots = plan_slots.select(F.col("slot").alias("slot"), *(F.col(c).alias(f"p_{c}") for c in weights))
-    pairs = changes.crossJoin(F.broadcast(slots)).withColumn("score", score)
+    pairs = changes.crossJoin(F.broadcast(slots) if slots.count() <= MAX_QUERIES else slots).withColumn("score", score)
     return latest(pairs, ["gid"], [F.desc("score"), F.asc("slot"), F.asc("change_seq")]).select("gid", "slot", "change_seq", "score")

@@ -10,6 +10,8 @@ from tidegauge.functions.rates import percent1
 from tidegauge.operators.versions import latest
 
 MIN_SAMPLE = 30
+#: Rows up to which a code list is broadcast.
+CODE_ROWS = 100_000
 
 
 def title_key(text: Column) -> Column:
@@ -123,8 +125,9 @@ def band_counts(bands: DataFrame, placed: DataFrame) -> DataFrame:
 
 
 def topic_grid(bands: DataFrame, topics: DataFrame, mentions: DataFrame) -> DataFrame:
-    """Every band with every topic, zeros kept. topics: the short code list."""
-    grid = bands.select("appid", "band_no").crossJoin(F.broadcast(topics.select("topic_id")))
+    """Every band with every topic, zeros kept. topics: the code list, broadcast if it is short."""
+    codes = topics.select("topic_id")
+    grid = bands.select("appid", "band_no").crossJoin(F.broadcast(codes) if codes.count() <= CODE_ROWS else codes)
     counted = mentions.groupBy("appid", "band_no", "topic_id").agg(F.count("*").alias("mentions"))
     return grid.join(counted, ["appid", "band_no", "topic_id"], "left").fillna(0, ["mentions"])
 
@@ -161,9 +164,23 @@ def budget_prefix(rows: DataFrame, group: list[str], order: list[Column], size:
     return run.withColumn("__over", first_over).filter("__over is null or __n < __over or __n = 1").drop("__n", "__sum", "__over")
 
 
+def numbered(rows: DataFrame, order: list[Column], name: str = "nth") -> DataFrame:
+    """``name``: each row's place (from 0) in an order of all rows, without sorting them in one task.
+
+    Rows are dealt by ranges of the order; a range's rows are numbered in it, and the counts of
+    the ranges before it (a row each) are added. Equal keys of the order must not matter.
+    """
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.repartitionByRange(n, *order).withColumn("range_no", F.spark_partition_id())
+    own = dealt.withColumn("in_range", F.row_number().over(Window.partitionBy("range_no").orderBy(*order)) - 1)
+    counts = own.groupBy("range_no").agg(F.count("*").alias("range_rows"))
+    before = counts.withColumn("before", F.coalesce(F.sum("range_rows").over(Window.orderBy("range_no").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("range_rows")  # a row per range
+    return own.join(F.broadcast(before), "range_no").withColumn(name, F.col("before") + F.col("in_range")).drop("range_no", "in_range", "before")
+
+
 def shards(rows: DataFrame, order: list[Column], n: int) -> DataFrame:
-    """Round-robin shard numbers in priority order."""
-    return rows.withColumn("shard", F.pmod(F.row_number().over(Window.orderBy(*order)) - 1, F.lit(n)))
+    """Round-robin shard numbers in priority order, which must be a total one."""
+    return numbered(rows, order, "shard").withColumn("shard", F.pmod("shard", F.lit(n)))
 
 
 def seeded_sample(rows: DataFrame, key: str, seed: int, size: int) -> DataFrame:

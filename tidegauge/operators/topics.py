@@ -8,7 +8,6 @@ from pyspark.ml.feature import HashingTF, Tokenizer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from tidegauge.operators.versions import latest
 
@@ -16,9 +15,9 @@ GRID = [round(0.2 + 0.025 * k, 3) for k in range(25)]
 
 
 def folded(rows: DataFrame, label: str, key: str, folds: int = 5) -> DataFrame:
-    """``fold`` 0..folds-1, dealt evenly within each class."""
-    w = Window.partitionBy(label).orderBy(F.xxhash64(key), key)
-    return rows.withColumn("fold", F.pmod(F.row_number().over(w) - 1, F.lit(folds)))
+    """``fold`` 0..folds-1 by a hash of class and key: even within each class, but for chance, and
+    without an exchange. A row keeps its fold whatever else is in the table."""
+    return rows.withColumn("fold", F.pmod(F.xxhash64(label, key), F.lit(folds)).cast("int"))
 
 
 def weighted(rows: DataFrame, label: str) -> DataFrame:

@@ -33,14 +33,18 @@ def latest_chunks(chunks: DataFrame, tie: list[str]) -> DataFrame:
     return latest(chunks, ["gid", "seq"], [F.col("processed_at").desc_nulls_last(), *(F.col(c).desc_nulls_last() for c in tie)])
 
 
+def bucket_of(key: str, buckets: int) -> Column:
+    return F.pmod(F.hash(key), F.lit(buckets)).cast("int")
+
+
 def bucketed_versions(reviews: DataFrame, buckets: int) -> DataFrame:
-    """:func:`exact_versions` computed bucket by bucket, for a restartable job; same rows."""
-    bucket = F.pmod(F.hash("recommendationid"), F.lit(buckets))
-    parts = [exact_versions(reviews.filter(bucket == b)) for b in range(buckets)]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    """:func:`exact_versions` with rows dealt to ``bucket``s of ids first: one read, one exchange, same rows.
+
+    A bucket holds all versions of its ids, so each can be written and checked on its own
+    (:func:`tidegauge.sources.sinks.compact`).
+    """
+    dealt = reviews.withColumn("bucket", bucket_of("recommendationid", buckets)).repartition(buckets, "bucket")
+    return latest(dealt, ["bucket", "recommendationid", "updated_ts"], [F.col("collected_ts").desc_nulls_last()]).drop("bucket")
 
 
 def upsert(target: DataFrame, new: DataFrame, key: list[str], order: list[Column], keep_from: Column | None = None) -> DataFrame:

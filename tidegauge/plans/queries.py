@@ -39,29 +39,29 @@ def daily_stat(t: Tables) -> DataFrame:
 
 @query(with_("p", "select appid, language_code, count(*) review_count, count(*) filter (voted_up) positive_count from p group by 1, 2"))
 def language_stat(t: Tables) -> DataFrame:
-    return agg.language_stat(t.playtimes())
+    return agg.language_stat(t.playtime_versions())
 
 
 @query(with_("bd pb", "select d.appid, d.band_no, d.playtime_from, d.playtime_to, count(b.recommendationid) review_count, count(*) filter (b.voted_up) positive_count from bd d left join pb b on b.appid = d.appid and b.band_no = d.band_no group by 1, 2, 3, 4"))
 def band_stat(t: Tables) -> DataFrame:
-    return agg.band_stat(t.playtimes())
+    return agg.band_stat(t.playtime_versions())
 
 
 @query(with_("p", "select count(*) latest_count, count(*) filter (playtime is null) missing_count, count(*) filter (playtime < 0) negative_count, count(*) filter (playtime >= 0) included_count from p"))
 def band_quality(t: Tables) -> DataFrame:
-    return agg.band_quality(t.playtimes())
+    return agg.band_quality(t.playtime_versions())
 
 
 @query(with_("pb t", "select b.appid, b.band_no, topic_id, count(*) filter (voted_up) positive_count, count(*) filter (not voted_up) negative_count from pb b join (select distinct * from t) x using (appid, recommendationid, updated_ts) where playtime >= 0 group by 1, 2, 3"))
 def band_topic_stat(t: Tables) -> DataFrame:
-    p = t.playtimes()
+    p = t.playtime_versions()
     return agg.band_topic_stat(p, t.topics(), agg.band_bounds(p))
 
 
 @query(with_("pb", "select appid, recommendationid, playtime, band_no from pb"))
 def assign_band(t: Tables) -> DataFrame:
-    p = t.playtimes()
-    return agg.assign_band(p, agg.band_bounds(p)).select("appid", "recommendationid", "playtime", "band_no")
+    p = t.playtime_versions()
+    return agg.assign_band(agg.latest_reviews(p), agg.band_bounds(p)).select("appid", "recommendationid", "playtime", "band_no")
 
 
 PATCH_SQL = with_("r pt", """, w as (select gid, appid, epoch(cast(make_timestamp((published_ts + 32400) * 1000000) as date)) - 32400 d0 from pt),
@@ -107,9 +107,18 @@ def null_report(t: Tables) -> DataFrame:
     return checks.null_report(t.raw("documents").join(t.raw("labels"), "doc_id", "left"), ["quality", "toxic", "source", "n_chars"])
 
 
-@query(with_("r", "select unnest(['bad_id', 'bad_order', 'negative_value']) reason, unnest([count(*) filter (appid <= 0), count(*) filter (collected_ts < updated_ts), count(*) filter (value < 0)]) n_rows from r"))
+def _dirty(t: Tables) -> DataFrame:
+    """Reviews, some with what makes a version invalid."""
+    k = F.col("event_id")
+    return t.reviews().select("event_id", (F.col("appid") - F.when(k % 53 == 1, 100).otherwise(0)).alias("appid"), F.when(k % 59 != 2, F.col("recommendationid")).alias("recommendationid"), (F.col("created_ts") + F.when(k % 61 == 3, 10**9).otherwise(0)).alias("created_ts"), "updated_ts", (F.col("updated_ts") + F.when(k % 67 == 4, -5).otherwise(5)).alias("collected_ts"), F.when(k % 71 != 6, F.col("voted_up")).alias("voted_up"))
+
+
+DIRTY_SQL = with_("r", ", dirty as (select event_id, appid - case when event_id % 53 = 1 then 100 else 0 end appid, case when event_id % 59 <> 2 then recommendationid end recommendationid, created_ts + case when event_id % 61 = 3 then 1000000000 else 0 end created_ts, updated_ts, updated_ts + case when event_id % 67 = 4 then -5 else 5 end collected_ts, case when event_id % 71 <> 6 then voted_up end voted_up from r)").replace(" , dirty", ", dirty")
+
+
+@query(DIRTY_SQL + " select event_id from dirty where appid is null or recommendationid is null or created_ts is null or updated_ts is null or collected_ts is null or voted_up is null or appid <= 0 or recommendationid <= 0 or created_ts < 0 or updated_ts < created_ts or collected_ts < updated_ts")
 def invalid_report(t: Tables) -> DataFrame:
-    return checks.reason_report(t.reviews(), {"bad_id": F.col("appid") <= 0, "bad_order": F.col("collected_ts") < F.col("updated_ts"), "negative_value": F.col("value") < 0})
+    return _dirty(t).filter(checks.invalid_review()).select("event_id")
 
 
 @query(with_("r", ", m as (select max(updated_ts) hi from r) select recommendationid, updated_ts, collected_ts, voted_up from r, m where updated_ts >= (hi + 32400) // 86400 * 86400 - 32400 - 13 * 86400 qualify row_number() over (partition by recommendationid order by updated_ts desc, collected_ts desc) = 1").replace(" , m as", ", m as"))
@@ -170,14 +179,16 @@ def fk_semi_filter(t: Tables) -> DataFrame:
     return t.raw("orders").join(keys, "o_custkey", "left_semi").select("o_orderkey", "o_custkey")
 
 
-@query("select c_custkey, c_name from customer where not exists (select 1 from orders where o_custkey = c_custkey)")
+@query("select c_custkey, c_name from customer where not exists (select 1 from orders where o_custkey = c_custkey and o_orderstatus = 'P')")
 def fk_anti_report(t: Tables) -> DataFrame:
-    return t.raw("customer").join(t.raw("orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti").select("c_custkey", "c_name")
+    """Customers without a pending order."""
+    return t.raw("customer").join(t.raw("orders").filter("o_orderstatus = 'P'").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti").select("c_custkey", "c_name")
 
 
-@query("select o_orderpriority, o_orderstatus, count(*) n from orders group by rollup (o_orderpriority, o_orderstatus)")
+@query(with_("r", ", x as (select appid, 'event_type' column_name, event_type as value from r union all select appid, 'voted_up', cast(voted_up as varchar) from r) select appid, column_name, value, count(*) n from x group by grouping sets ((appid, column_name, value), (column_name, value))").replace(" , x as", ", x as"))
 def audit_profile(t: Tables) -> DataFrame:
-    return t.raw("orders").rollup("o_orderpriority", "o_orderstatus").agg(F.count("*").alias("n"))
+    """How often each value occurs, per game and over all."""
+    return agg.value_counts(t.reviews(), "appid", ["event_type", "voted_up"])
 
 
 @query("select count(*) n_rows, count(distinct user_id) users, min(value) low, max(value) high, count(*) filter (event_type = 'signup') signups, count(distinct event_type) types from events")
@@ -289,7 +300,7 @@ def patch_cycles(t: Tables) -> DataFrame:
     return out.select("appid", "gid", *(F.round(c, 6).alias(c) for c in ("prev_days", "next_days", "mean_days")))
 
 
-@query(with_("p", ", c as (select case language_code when 'koreana' then 'korean' else language_code end language_code, count(*) review_count, count(*) filter (voted_up) positive_count from p group by 1) select language_code, language_code as name, review_count, positive_count, round(100.0::double * review_count / sum(review_count) over (), 1) share, round(100.0::double * positive_count / review_count, 1) positive_rate, review_count >= 30 enough from c").replace(" , c as", ", c as"))
+@query(with_("p", ", c as (select case language_code when 'koreana' then 'korean' else language_code end language_code, count(*) review_count, count(*) filter (voted_up) positive_count from p group by 1) select language_code, case language_code when 'korean' then 'Korean' else language_code end as name, review_count, positive_count, round(100.0::double * review_count / sum(review_count) over (), 1) share, round(100.0::double * positive_count / review_count, 1) positive_rate, review_count >= 30 enough from c").replace(" , c as", ", c as"))
 def language_share(t: Tables) -> DataFrame:
     names = t.spark.createDataFrame([("korean", "Korean"), ("koreana", "Korean")], "language_code string, name string")
     return serving.language_share(t.playtimes(), names)
@@ -391,7 +402,8 @@ def case_patterns(t: Tables) -> DataFrame:
 @query("select l_orderkey gid, l_linenumber change_seq, coalesce(n_name, 'unknown') target from lineitem left join nation on n_nationkey = l_suppkey % 30")
 def change_codes_join(t: Tables) -> DataFrame:
     codes = t.raw("nation").select("n_nationkey", "n_name")
-    return t.raw("lineitem").join(F.broadcast(codes), F.col("l_suppkey") % 30 == F.col("n_nationkey"), "left").select(F.col("l_orderkey").alias("gid"), F.col("l_linenumber").alias("change_seq"), F.coalesce("n_name", F.lit("unknown")).alias("target"))  # 25 codes
+    codes = F.broadcast(codes) if codes.count() <= notices.CODE_ROWS else codes
+    return t.raw("lineitem").join(codes, F.col("l_suppkey") % 30 == F.col("n_nationkey"), "left").select(F.col("l_orderkey").alias("gid"), F.col("l_linenumber").alias("change_seq"), F.coalesce("n_name", F.lit("unknown")).alias("target"))
 
 
 # ---- trends ----------------------------------------------------------------------------
@@ -604,16 +616,14 @@ def greedy_batches(t: Tables) -> DataFrame:
     return texts.batches(rows, "conv_id", "turn", "text", 600, 3).select("conv_id", "turn", "batch")
 
 
-@query("select o_orderkey, o_totalprice, round((o_totalprice - min(o_totalprice) over w) / nullif(max(o_totalprice) over w - min(o_totalprice) over w, 0), 9) scaled from orders where o_custkey % 50 = 1 window w as (partition by o_custkey) qualify count(*) over w > 1")
+@query("select o_orderkey, o_totalprice, round((o_totalprice - min(o_totalprice) over w) / nullif(max(o_totalprice) over w - min(o_totalprice) over w, 0), 9) scaled from orders window w as (partition by o_custkey) qualify count(*) over w > 1")
 def min_max_scaled(t: Tables) -> DataFrame:
     w = Window.partitionBy("o_custkey")
-    o = t.raw("orders").filter("o_custkey % 50 = 1").withColumn("n", F.count("*").over(w)).filter("n > 1")
+    o = t.raw("orders").withColumn("n", F.count("*").over(w)).filter("n > 1")
     return o.select("o_orderkey", "o_totalprice", F.round(rates.min_max(F.col("o_totalprice"), w), 9).alias("scaled"))
 
 
-@query("select o_orderkey, o_totalprice, round((o_totalprice - min(o_totalprice) over w) / nullif(max(o_totalprice) over w - min(o_totalprice) over w, 0), 9) scaled from orders window w as (partition by o_custkey) qualify count(*) over w > 1")
+@query(SQL["min_max_scaled"])
 def min_max_scaled_all(t: Tables) -> DataFrame:
-    """min_max_scaled for the orders of every customer; the other is held to a fiftieth by its SQL."""
-    w = Window.partitionBy("o_custkey")
-    o = t.raw("orders").withColumn("n", F.count("*").over(w)).filter("n > 1")
-    return o.select("o_orderkey", "o_totalprice", F.round(rates.min_max(F.col("o_totalprice"), w), 9).alias("scaled"))
+    """The name that min_max_scaled had while it took a fiftieth of the customers; the same rows now."""
+    return min_max_scaled(t)
