@@ -43,6 +43,82 @@ def test_lake_and_compaction(spark, tmp_path):
         landing.finished(spark, delta)
 
 
+class Crash(Exception):
+    pass
+
+
+def crashing(monkeypatch, at):
+    """Steps raise at the at-th of them; returns the list of those that were reached."""
+    seen = []
+
+    def step(name):
+        seen.append(name)
+        if len(seen) == at:
+            raise Crash(name)
+
+    monkeypatch.setattr(sinks, "step", step)
+    return seen
+
+
+def test_compaction_survives_a_crash_anywhere(spark, tmp_path, monkeypatch):
+    """Ended between any two steps, readers find the old or the new table, and a second run ends it."""
+    old = [(1, 1, 1, 1, 5, True), (1, 2, 1, 1, 5, True)]
+    new = [(1, 1, 1, 1, 9, False), (1, 1, 1, 3, 9, False), (1, 7, 1, 3, 9, True)]
+    want = sorted([(1, 1, 1, 1, 9, False), (1, 1, 1, 3, 9, False), (1, 2, 1, 1, 5, True), (1, 7, 1, 3, 9, True)])
+    found = lambda base, delta: sorted(tuple(r) for r in landing.lake(spark, base, delta, REVIEW).collect())
+    at, reached = 0, 1
+    while reached > at:
+        at += 1
+        base, delta = str(tmp_path / f"base{at}"), str(tmp_path / f"delta{at}")
+        spark.createDataFrame(old, REVIEW).coalesce(1).write.parquet(base)
+        spark.createDataFrame(new, REVIEW).coalesce(1).write.parquet(f"{delta}/dt=2024-01-01")
+        seen = crashing(monkeypatch, at)
+        try:
+            sinks.compact(spark, base, delta, REVIEW, buckets=2)
+            reached = 0
+        except Crash:
+            reached = at + 1
+        monkeypatch.undo()
+        assert found(base, delta) in (sorted(old + new), sorted(want + new), want), seen[-1]
+        assert sinks.compact(spark, base, delta, REVIEW, expect=4, buckets=2) == 4
+        assert found(base, delta) == want and not landing.exists(spark, delta), seen[-1]
+    assert at > 10
+
+
+def test_versioned_table_survives_a_crash(spark, tmp_path, monkeypatch):
+    table, schema = str(tmp_path / "t"), "id bigint, v string"
+    write = lambda rows: sinks.write_buckets(spark.createDataFrame(rows, "id bigint, v string, bucket int"), table, sorted({r[2] for r in rows}), 3)
+    read = lambda: sorted(tuple(r) for r in sinks.read_table(spark, table, schema).collect())
+    assert read() == []
+    write([(1, "a", 0), (2, "a", 1)])
+    for at in (1, 2):
+        crashing(monkeypatch, at)
+        with pytest.raises(Crash):
+            write([(1, "b", 0), (3, "b", 2)])
+        monkeypatch.undo()
+        assert read() == [(1, "a"), (2, "a")]
+    write([(1, "b", 0), (3, "b", 2)])
+    sinks.vacuum(spark, table)
+    assert read() == [(1, "b"), (2, "a"), (3, "b")] and sorted(tuple(r) for r in sinks.read_table(spark, table, schema, [1]).collect()) == [(2, "a")]
+    with pytest.raises(ValueError):
+        sinks.write_buckets(spark.createDataFrame([(1, "a", 0)], "id bigint, v string, bucket int"), table, [0], 4)
+
+
+def test_swap_recovers(spark, tmp_path, monkeypatch):
+    live, staged = str(tmp_path / "live"), str(tmp_path / "staged")
+    spark.range(3).write.parquet(live)
+    spark.range(5).write.parquet(staged)
+    crashing(monkeypatch, 2)
+    with pytest.raises(Crash):
+        sinks.swap(spark, staged, live)
+    monkeypatch.undo()
+    assert not landing.exists(spark, live)
+    sinks.recover(spark, live)
+    assert spark.read.parquet(live).count() == 3
+    sinks.swap(spark, staged, live)
+    assert spark.read.parquet(live).count() == 5
+
+
 def test_sinks(spark, tmp_path):
     df = spark.range(10).withColumn("shard", F.col("id") % 3)
     path = sinks.write_partition(df, str(tmp_path / "t"), "2024-01-01", 10)
@@ -60,7 +136,7 @@ def test_streams_equal_batches(spark, tmp_path):
     for part in (first, second):
         part.coalesce(1).write.mode("append").parquet(src)
         ingest.run_available(ingest.stream(spark, src, REVIEW), mark, ingest.upsert_batches(target, ["recommendationid"]))
-    assert sorted((r["recommendationid"], r["updated_ts"], r["voted_up"]) for r in spark.read.parquet(target).collect()) == [(1, 9, False), (2, 1, True)]
+    assert sorted((r["recommendationid"], r["updated_ts"], r["voted_up"]) for r in sinks.read_table(spark, target, REVIEW).collect()) == [(1, 9, False), (2, 1, True)]
     live = ingest.daily_counts(ingest.stream(spark, src, REVIEW))
     q = live.writeStream.outputMode("append").format("memory").queryName("live").option("checkpointLocation", str(tmp_path / "m2")).trigger(availableNow=True).start()
     q.awaitTermination()

@@ -63,6 +63,9 @@ def landed_notices(spark: SparkSession, path: str) -> DataFrame:
 
 def lake(spark: SparkSession, base: str, delta: str, schema: str = schemas.REVIEW) -> DataFrame:
     """Base and delta of a lake, whichever exist; an empty typed table if neither does."""
+    from tidegauge.sources.sinks import recover
+
+    recover(spark, base)
     found = existing(spark, [base, delta])
     if not found:
         return spark.createDataFrame([], schema)

@@ -9,8 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tidegauge.operators.versions import exact_versions, upsert
-from tidegauge.sources.landing import exists
-from tidegauge.sources.sinks import replace_table
+from tidegauge.sources.sinks import read_table, write_buckets
 
 
 def stream(spark: SparkSession, path: str, schema: str, files_per_trigger: int = 100) -> DataFrame:
@@ -27,15 +26,26 @@ def daily_counts(reviews: DataFrame, late: str = "2 days") -> DataFrame:
     return once.groupBy("appid", F.window("at", "1 day", startTime="15 hours")).agg(F.count("*").alias("versions"), F.count_if(F.col("voted_up")).alias("positives")).select("appid", F.col("window.start").alias("day_start"), "versions", "positives")
 
 
-def upsert_batches(target: str, key: list[str]) -> Callable[[DataFrame, int], None]:
-    """foreachBatch: merge each batch's latest versions into a table; replays change nothing."""
+def upsert_batches(target: str, key: list[str], buckets: int = 16) -> Callable[[DataFrame, int], None]:
+    """foreachBatch: merge each batch's latest versions into a versioned table; replays change nothing.
+
+    The table is dealt to buckets by a hash of the key: a batch reads and rewrites the buckets
+    that it touches, and the pointer moves once they are written.
+    """
 
     def merge(batch: DataFrame, _: int) -> None:
         spark = batch.sparkSession
         order = [F.desc("updated_ts"), F.desc("collected_ts")]
-        new = exact_versions(batch)
-        old = spark.read.schema(batch.schema).parquet(target) if exists(spark, target) else new.limit(0)
-        replace_table(upsert(old, new, key, order), target)
+        schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in batch.schema)
+        new = exact_versions(batch).withColumn("bucket", F.pmod(F.xxhash64(*key), F.lit(buckets)).cast("int")).persist()
+        try:
+            touched = [r["bucket"] for r in new.select("bucket").distinct().collect()]  # at most ``buckets`` rows
+            if touched:
+                old = read_table(spark, target, schema, touched)
+                merged = upsert(old, new.drop("bucket"), key, order).withColumn("bucket", F.pmod(F.xxhash64(*key), F.lit(buckets)).cast("int"))
+                write_buckets(merged.repartition("bucket"), target, touched, buckets)
+        finally:
+            new.unpersist()
 
     return merge
 
