@@ -558,7 +558,7 @@ def change_extract(t: Tables) -> DataFrame:
 @query()
 def rule_slots(t: Tables) -> DataFrame:
     chunked = notices.notice_chunks(_notices(t), ["gid"], "contents", 60)
-    return chunked.select("gid", "seq", notices.rule_slots(F.col("chunk"), F.col("heading")).alias("s")).filter("s is not null").select("gid", "seq", "s.*")
+    return notices.with_slots(chunked, "chunk", "heading").filter("s is not null").select("gid", "seq", "s.*")
 
 
 @query()
@@ -575,9 +575,9 @@ def grounding_check(t: Tables) -> DataFrame:
     return notices.with_refusal(changes.withColumn("conditions", F.array_compact(F.array("conditions")))).select("item_id", "case", "grounded", "refusal")
 
 
-@query()
+@query(r"select conv_id, turn, regexp_matches(text, '[\x{3040}-\x{30ff}\x{3400}-\x{4dbf}\x{4e00}-\x{9fff}]') cjk, regexp_matches(text, '(?i)\b(because|caused by|due to|led to)\b') causal, regexp_matches(text, '(?i)\b(should|recommend|must|advise)\b') advice, regexp_matches(text, '(?m)^\s*(?:[-*•]|\d+[.)])\s') list_form, not regexp_matches(trim(text), '[.!?]$') no_ending, len(list_intersect(list_filter(list_transform(string_split_regex(text, '[\n.!?]+'), lambda x: trim(regexp_replace(lower(x), '\s+', ' ', 'g'))), lambda x: length(x) >= 20), ['the river runs down from the hill'])) > 0 echo from conversations where text is not null")
 def summary_guards(t: Tables) -> DataFrame:
-    return t.raw("conversations").filter("text is not null").select("conv_id", "turn", *(c.alias(k) for k, c in notices.guards(F.col("text")).items()))
+    return t.raw("conversations").filter("text is not null").select("conv_id", "turn", *(c.alias(k) for k, c in notices.guards(F.col("text"), F.lit("The River runs down from the hill. Nothing else.")).items()))
 
 
 @query()
