@@ -522,7 +522,15 @@ def rates_and_buckets(t: Tables) -> DataFrame:
 # ---- text rules and models (not expressible in SQL unless noted) -----------------------
 
 
-@query()
+def _plain_sql() -> str:
+    out = "coalesce(html, '')"
+    for pattern, by in notices.MARKUP:
+        by = by.replace("'", "''").replace("\n", "' || chr(10) || '")
+        out = f"regexp_replace({out}, '{pattern.replace(chr(39), chr(39) * 2)}', '{by}', 'g')"
+    return f"select page_id, trim(regexp_replace({out}, '^\\n+|\\n+$', '', 'g')) body from pages"
+
+
+@query(_plain_sql())
 def plain_text(t: Tables) -> DataFrame:
     return t.raw("pages").select("page_id", notices.plain_text(F.col("html")).alias("body"))
 

@@ -115,3 +115,20 @@ def catalog(raw: DataFrame) -> DataFrame:
 def targets(games: DataFrame, everything: bool = False) -> DataFrame:
     """Games to collect: those with reviews, in order."""
     return (games if everything else games.filter("review_count > 0")).orderBy("appid")
+
+
+def typed_scan(spark: SparkSession, path: str, types: dict[str, str]) -> DataFrame:
+    """Columns of Parquet files in the wanted types, cast where theirs differ; a value that can't be cast is null."""
+    raw = spark.read.parquet(path)
+    have = dict(raw.dtypes)
+    return raw.select(*(F.col(c) if have[c] == t else F.col(c).try_cast(t).alias(c) for c, t in types.items()))
+
+
+def json_shards(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """JSON lines of all shards below a path, with the ``shard`` of their directory."""
+    return spark.read.schema(f"{schema}, shard int").json(path)
+
+
+def converted(raw: DataFrame, key: list[str], numbers: list[str]) -> DataFrame:
+    """One row per key, numbers as nullable integers: what isn't one is null."""
+    return raw.select(*(F.col(c).try_cast("double").try_cast("int").alias(c) if c in numbers else F.col(c) for c in raw.columns)).dropDuplicates(key)
