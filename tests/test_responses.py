@@ -34,3 +34,14 @@ def test_numbers_over_ranges(spark):
     got = [(r["p"], r["id"]) for r in serving.numbered(df, [F.asc("p"), F.desc("id")]).orderBy("nth").collect()]
     assert got == sorted(((r["p"], r["id"]) for r in df.collect()), key=lambda x: (x[0], -x[1]))
     assert serving.numbered(df.limit(0), [F.asc("p")]).count() == 0
+
+
+def test_periods():
+    from datetime import date
+
+    from tidegauge.functions import times
+
+    assert times.checked_period(date(2024, 1, 1), date(2024, 1, 31)) == 31 and times.checked_period(date(2024, 1, 1), date(2025, 2, 3)) == 400
+    for last in (date(2023, 12, 31), date(2025, 2, 4)):
+        with pytest.raises(ValueError):
+            times.checked_period(date(2024, 1, 1), last)

@@ -50,3 +50,8 @@ def single_or_mixed(values: Column) -> Column:
     """The one distinct value of an array, else 'mixed'; null if it is empty."""
     distinct = F.array_distinct(values)
     return F.when(F.size(distinct) == 1, F.get(distinct, F.lit(0))).when(F.size(distinct) > 1, F.lit("mixed"))
+
+
+def percent_decimal(part: Column, whole: Column) -> Column:
+    """A percentage as DECIMAL(5,2), half up; null for an empty whole."""
+    return F.round(percent(part, whole), 2).cast("decimal(5,2)")

@@ -14,6 +14,13 @@ def numbers(text: Column, most: int = 3) -> Column:
     return F.slice(F.regexp_extract_all(text, F.lit(NUMBER), F.lit(1)), 1, most)
 
 
+def transitions(text: Column, most: int = 3) -> Column:
+    """The first "from A to B" and "A -> B" pairs of numbers, as "A>B"."""
+    pair = r"(\d+(?:\.\d+)?%?)\s*(?:->|→|to)\s*(\d+(?:\.\d+)?%?)"
+    first, last = (F.regexp_extract_all(text, F.lit(pair), F.lit(k)) for k in (1, 2))
+    return F.slice(F.zip_with(first, last, lambda a, b: F.concat(a, F.lit(">"), b)), 1, most)
+
+
 def shortened(text: Column, most: int) -> Column:
     """At most ``most`` characters, cut at a space where there is one, with an ellipsis."""
     head = F.left(text, F.lit(most - 1))

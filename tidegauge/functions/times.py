@@ -62,3 +62,14 @@ def days_between(later: Column | str, earlier: Column | str) -> Column:
 def day_count(first: Column | str, last: Column | str) -> Column:
     """Days of a closed period."""
     return F.date_diff(col(last), col(first)) + 1
+
+
+MAX_PERIOD_DAYS = 400
+
+
+def checked_period(first, last, most: int = MAX_PERIOD_DAYS) -> int:
+    """Days of a closed period of two dates; raises where it is empty or too long to answer."""
+    days = (last - first).days + 1
+    if not 1 <= days <= most:
+        raise ValueError(f"{days} days: a period has 1 to {most}")
+    return days

@@ -70,3 +70,11 @@ def to_rows(scores: DataFrame, key: list[str], columns: dict[str, int], threshol
     """Long form: a row per topic whose probability reaches its threshold."""
     pairs = F.array(*(F.when(F.col(c) >= thresholds[c], F.struct(F.lit(t).alias("topic_id"), F.col(c).cast("float").alias("score"))) for c, t in columns.items()))
     return scores.select(*key, F.explode(F.array_compact(pairs)).alias("t")).select(*key, "t.*")
+
+
+def micro_f1(rows: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
+    """Precision, recall and F1 over all (truth, prediction) column pairs together."""
+    n = lambda y, p: sum((F.count_if((F.col(a) == y) & (F.col(b) == p)) for a, b in pairs[1:]), F.count_if((F.col(pairs[0][0]) == y) & (F.col(pairs[0][1]) == p)))
+    s = rows.agg(n(1, 1).alias("tp"), n(0, 1).alias("fp"), n(1, 0).alias("fn"))
+    tp, fp, fn = F.col("tp"), F.col("fp"), F.col("fn")
+    return s.select("tp", "fp", "fn", F.when(tp + fp > 0, tp / (tp + fp)).alias("precision"), F.when(tp + fn > 0, tp / (tp + fn)).alias("recall"), F.when(2 * tp + fp + fn > 0, 2 * tp / (2 * tp + fp + fn)).alias("f1"))

@@ -114,3 +114,18 @@ def surge(days: DataFrame, patches: DataFrame, n: int = 7) -> DataFrame:
     slow = F.array_position(F.transform("late", lambda d: d["reviews"] < SURGE_DAY * F.col("base")), True)
     out = out.withColumn("ratio", mean(F.col("late")) / F.col("base")).withColumn("run_days", F.when(slow > 0, slow - 1).otherwise(F.size("late")).cast("bigint"))
     return out.select("gid", "appid", "patch_date", "base", "ratio", "run_days", (F.coalesce(F.col("ratio") >= SURGE_MEAN, F.lit(False)) & (F.col("run_days") >= 1)).alias("surged"))
+
+
+def ranges(days: DataFrame, unit: str = "week") -> DataFrame:
+    """Days re-aggregated to weeks or months: the unrounded ratio over the days that have reviews."""
+    own = days.filter("reviews > 0").withColumn("period", F.trunc("stat_date", unit))
+    return own.groupBy("appid", "period").agg(F.count("*").alias("n_days"), F.sum("reviews").alias("reviews"), (F.sum("positives") / F.sum("reviews")).alias("ratio"))
+
+
+def channel_totals(days: DataFrame) -> DataFrame:
+    """Per game and channel (new, edited): reviews, positives, unrounded ratio, busiest day."""
+    channel = lambda name: F.struct(F.lit(name).alias("channel"), F.col(f"{name}_review_count").alias("reviews"), F.col(f"{name}_positive_count").alias("positives"))
+    rows = days.select("appid", "stat_date", F.explode(F.array(channel("new"), channel("edited"))).alias("x")).select("appid", "stat_date", "x.*")
+    peak = latest(rows.filter("reviews > 0"), ["appid", "channel"], [F.desc("reviews"), F.asc("stat_date")]).select("appid", "channel", F.col("stat_date").alias("peak_date"))
+    sums = rows.groupBy("appid", "channel").agg(F.sum("reviews").alias("reviews"), F.sum("positives").alias("positives"))
+    return sums.withColumn("ratio", F.when(F.col("reviews") > 0, F.col("positives") / F.col("reviews"))).join(peak, ["appid", "channel"], "left")

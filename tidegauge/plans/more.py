@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidegauge.functions import rates, texts, times, vectors
 from tidegauge.operators import aggregates as agg
-from tidegauge.operators import checks, notices, responses, search, serving, topics, versions
+from tidegauge.operators import checks, notices, responses, search, serving, topics, trends, versions
 from tidegauge.plans.fixtures import COVERAGE_END, COVERAGE_START, RUN_AT, Tables, with_
 from tidegauge.plans.queries import DIRTY_SQL, PATCH_SQL, _dirty, query
 
@@ -341,3 +341,77 @@ def card_lines(t: Tables) -> DataFrame:
     d = F.col("o_custkey") % 7 - 3
     line = responses.card_line(F.array(F.lit("O"), F.lit("F"), F.lit("O")), F.when(F.col("o_orderstatus") == "F", "weapon"), d.cast("double"))
     return t.raw("orders").select(F.col("o_orderkey").alias("gid"), d.alias("d"), line.alias("line"))
+
+
+# ---- ranges, channels, periods, decimals -----------------------------------------------
+
+
+@query(with_("dy", "select appid, cast(date_trunc('week', stat_date) as date) period, count(*) n_days, cast(sum(reviews) as bigint) reviews, round(sum(positives) / cast(sum(reviews) as double), 8) ratio from dy where reviews > 0 group by 1, 2"))
+def trend_ranges(t: Tables) -> DataFrame:
+    return trends.ranges(t.days()).withColumn("ratio", F.round("ratio", 8))
+
+
+@query(with_("ds", ", x as (select appid, stat_date, 'new' channel, new_review_count reviews, new_positive_count positives from ds union all select appid, stat_date, 'edited', edited_review_count, edited_positive_count from ds) select appid, channel, cast(sum(reviews) as bigint) reviews, cast(sum(positives) as bigint) positives, round(sum(positives) / cast(nullif(sum(reviews), 0) as double), 8) ratio, arg_max(stat_date, reviews * 100000 - date_diff('day', date '1970-01-01', stat_date)) filter (reviews > 0) peak_date from x group by 1, 2").replace(" , x as", ", x as"))
+def trend_channels(t: Tables) -> DataFrame:
+    return trends.channel_totals(agg.daily_stat(t.reviews())).withColumn("ratio", F.round("ratio", 8))
+
+
+@query(with_("p", ", q as (select * from p where updated_ts >= 1700010000 and updated_ts < 1700300000), c as (select case language_code when 'koreana' then 'korean' else language_code end language_code, count(*) review_count, count(*) filter (voted_up) positive_count from q group by 1) select language_code, review_count, round(100.0::double * review_count / sum(review_count) over (), 1) share, round(100.0::double * positive_count / review_count, 1) positive_rate from c").replace(" , q as", ", q as"))
+def language_share_period(t: Tables) -> DataFrame:
+    """Shares of the latest reviews of a half-open period."""
+    names = t.spark.createDataFrame([("korean", "Korean")], "language_code string, name string")
+    return serving.language_share(t.playtimes().filter("updated_ts >= 1700010000 and updated_ts < 1700300000"), names).select("language_code", "review_count", "share", "positive_rate")
+
+
+@query(with_("g tl", ", f as (select appid, min(published_ts) released from tl group by 1) select g.appid, title, released from g join f on f.appid = g.appid where year(make_timestamp((released + 32400) * 1000000)) between 1996 and 1997").replace(" , f as", ", f as"))
+def games_release_year(t: Tables) -> DataFrame:
+    released = t.timeline().groupBy("appid").agg(F.min("published_ts").alias("released"))
+    return t.games().join(released, "appid").filter(times.kst_year("released").between(1996, 1997)).select("appid", "title", "released")
+
+
+@query(with_("g tl", ", f as (select appid, min(published_ts) released from tl group by 1) select g.appid, released from g left join f on f.appid = g.appid order by released desc nulls last, g.appid limit 21").replace(" , f as", ", f as"))
+def games_by_release(t: Tables) -> DataFrame:
+    released = t.timeline().groupBy("appid").agg(F.min("published_ts").alias("released"))
+    return serving.keyset(t.games().select("appid").join(released, "appid", "left"), "released", "appid", True, 20)
+
+
+@query(PATCHES_SQL + "select gid, cast(round(b, 2) as decimal(5,2)) before_pct, cast(round(a, 2) as decimal(5,2)) after_pct from q")
+def patch_decimals(t: Tables) -> DataFrame:
+    s = _patch_stat(t)
+    return s.select("gid", *(rates.percent_decimal(F.col(f"{x}_positive"), F.col(f"{x}_count")).alias(f"{x}_pct") for x in ("before", "after")))
+
+
+@query("select p_partkey, p_size || '>' || (p_size + 1) || ',5%>7%' pairs from part")
+def number_transitions(t: Tables) -> DataFrame:
+    size = F.col("p_size").cast("string")
+    text = F.concat(F.lit("from "), size, F.lit(" to "), (F.col("p_size") + 1).cast("string"), F.lit(" and 5% -> 7%, not 9"))
+    return t.raw("part").select("p_partkey", F.array_join(texts.transitions(text), ",").alias("pairs"))
+
+
+@query("select l_orderkey, to_json(list({'n': l_linenumber, 'f': l_returnflag} order by l_linenumber, l_partkey, l_returnflag) filter (l_returnflag <> 'N')) lines from lineitem group by 1")
+def json_lists(t: Tables) -> DataFrame:
+    """Ordered JSON arrays of some of a group's rows; null where there are none."""
+    pairs = F.collect_list(F.when(F.col("l_returnflag") != "N", F.struct(F.col("l_linenumber").alias("n"), "l_partkey", F.col("l_returnflag").alias("f"))))
+    g = t.raw("lineitem").groupBy("l_orderkey").agg(F.array_sort(pairs).alias("x"))
+    return g.select("l_orderkey", F.when(F.size("x") > 0, F.to_json(F.transform("x", lambda r: F.struct(r["n"].alias("n"), r["f"].alias("f"))))).alias("lines"))
+
+
+@query("select o_orderkey, unnest(['a', o_orderstatus, 'c']) item, unnest([1, 2, 3])::bigint as place from orders")
+def json_ordinality(t: Tables) -> DataFrame:
+    """Elements of a JSON array with their places, from 1."""
+    text = F.concat(F.lit('["a","'), "o_orderstatus", F.lit('","c"]'))
+    return t.raw("orders").select("o_orderkey", F.posexplode(F.from_json(text, "array<string>")).alias("k", "item")).select("o_orderkey", "item", (F.col("k") + 1).cast("bigint").alias("place"))
+
+
+@query("with x as (select unnest([quality, toxic]) y, unnest([case when doc_id % 3 = 0 then 1 else 0 end, case when doc_id % 5 = 0 then 1 else 0 end]) p from labels), s as (select count(*) filter (y = 1 and p = 1) tp, count(*) filter (y = 0 and p = 1) fp, count(*) filter (y = 1 and p = 0) fn from x) select tp, fp, fn, tp / cast(tp + fp as double) as precision, tp / cast(tp + fn as double) recall, 2 * tp / cast(2 * tp + fp + fn as double) f1 from s")
+def micro_f1(t: Tables) -> DataFrame:
+    rows = t.raw("labels").select("quality", "toxic", (F.col("doc_id") % 3 == 0).cast("int").alias("p_quality"), (F.col("doc_id") % 5 == 0).cast("int").alias("p_toxic"))
+    return topics.micro_f1(rows, [("quality", "p_quality"), ("toxic", "p_toxic")])
+
+
+@query("select c_custkey appid, left(case when c_custkey % 4 = 0 then 'New ' || c_name else c_name end, 12) title from customer union all select 1000000 + n_nationkey, left(n_name, 12) from nation")
+def catalog_upsert(t: Tables) -> DataFrame:
+    """Catalogue rows updated and added by key, none deleted, strings cut to their width."""
+    old = t.raw("customer").select(F.col("c_custkey").cast("bigint").alias("appid"), F.col("c_name").alias("title"))
+    new = old.filter("appid % 4 = 0").select("appid", F.concat(F.lit("New "), "title").alias("title")).unionByName(t.raw("nation").select((F.lit(1_000_000) + F.col("n_nationkey")).cast("bigint").alias("appid"), F.col("n_name").alias("title")))
+    return responses.shaped(versions.merge_columns(old, new, ["appid"], {}), {"title": 12})
