@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from tidegauge.functions.rates import percent1
 from tidegauge.operators.versions import latest
+from tidegauge.sources.shared import written
 
 MIN_SAMPLE = 30
 #: Rows up to which a code list is broadcast.
@@ -157,22 +158,33 @@ def plan_page(plans: DataFrame, slots: DataFrame, size: int, after: tuple | None
 
 
 def budget_prefix(rows: DataFrame, group: list[str], order: list[Column], size: Column, budget: int) -> DataFrame:
-    """Rows in order until the first that would exceed the budget; at least one row of a group."""
-    w = Window.partitionBy(*group).orderBy(*order)
-    run = rows.withColumn("__n", F.row_number().over(w)).withColumn("__sum", F.sum(size).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    first_over = F.min(F.when(F.col("__sum") > budget, F.col("__n"))).over(Window.partitionBy(*group))
-    return run.withColumn("__over", first_over).filter("__over is null or __n < __over or __n = 1").drop("__n", "__sum", "__over")
+    """Rows in order until the first that would exceed the budget; at least one row of a group.
+
+    A group's running sums are taken by ranges of the order, with the ranges' sums before them
+    added, so one group may hold any share of the rows. Null sizes count as nothing.
+    """
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.withColumn("own_size", size).repartitionByRange(n, *group, *order).withColumn("range_no", F.spark_partition_id())
+    w = Window.partitionBy(*group, "range_no").orderBy(*order)
+    own = written(dealt.withColumn("own_n", F.row_number().over(w)).withColumn("own_sum", F.coalesce(F.sum("own_size").over(w.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0))))
+    parts = own.groupBy(*group, "range_no").agg(F.count("*").alias("rows"), F.coalesce(F.sum("own_size"), F.lit(0)).alias("sum"))
+    past = Window.partitionBy(*group).orderBy("range_no").rowsBetween(Window.unboundedPreceding, -1)  # a row per range
+    before = parts.select(*group, "range_no", F.coalesce(F.sum("rows").over(past), F.lit(0)).alias("rows_before"), F.coalesce(F.sum("sum").over(past), F.lit(0)).alias("sum_before"))
+    placed = own.join(before, [*group, "range_no"]).withColumn("own_n", F.col("own_n") + F.col("rows_before")).withColumn("own_sum", F.col("own_sum") + F.col("sum_before"))
+    over = placed.filter(F.col("own_sum") > budget).groupBy(*group).agg(F.min("own_n").alias("first_over"))
+    return placed.join(over, group, "left").filter("first_over is null or own_n < first_over or own_n = 1").select(*rows.columns)
 
 
 def numbered(rows: DataFrame, order: list[Column], name: str = "nth") -> DataFrame:
     """``name``: each row's place (from 0) in an order of all rows, without sorting them in one task.
 
-    Rows are dealt by ranges of the order; a range's rows are numbered in it, and the counts of
-    the ranges before it (a row each) are added. Equal keys of the order must not matter.
+    Rows are dealt by ranges of the order and numbered there, and the counts of the ranges before
+    (a row each) are added. The numbered ranges are a written table: dealt again, their bounds could
+    differ. Equal keys of the order must not matter.
     """
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = rows.repartitionByRange(n, *order).withColumn("range_no", F.spark_partition_id())
-    own = dealt.withColumn("in_range", F.row_number().over(Window.partitionBy("range_no").orderBy(*order)) - 1)
+    own = written(dealt.withColumn("in_range", F.row_number().over(Window.partitionBy("range_no").orderBy(*order)) - 1))
     counts = own.groupBy("range_no").agg(F.count("*").alias("range_rows"))
     before = counts.withColumn("before", F.coalesce(F.sum("range_rows").over(Window.orderBy("range_no").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("range_rows")  # a row per range
     return own.join(F.broadcast(before), "range_no").withColumn(name, F.col("before") + F.col("in_range")).drop("range_no", "in_range", "before")

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -14,16 +11,6 @@ from tidegauge.functions.times import ntz_seconds
 RUN_AT, COVERAGE_START, COVERAGE_END = 4_000_000_000, 0, 4_000_000_000
 
 
-def scratch(spark: SparkSession) -> str:
-    """A new folder that all executors share: below spark.checkpoint.dir, or a local session's own."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local["):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="tidegauge-")
-    return f"{base.rstrip('/')}/io-{uuid.uuid4().hex}"
-
-
 class Tables:
     """The driver's tables and what is derived from them, read on demand."""
 

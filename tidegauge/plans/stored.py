@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidegauge.operators import notices, serving
-from tidegauge.plans.fixtures import Tables, scratch, with_
+from tidegauge.plans.fixtures import Tables, with_
 from tidegauge.plans.queries import _notices, query
 from tidegauge.sources import landing, sinks
+from tidegauge.sources.shared import scratch
 from tidegauge.streaming import ingest
 
 REVIEW = "appid bigint, recommendationid bigint, created_ts bigint, updated_ts bigint, collected_ts bigint, voted_up boolean"
