@@ -161,8 +161,8 @@ def train_quality_model(docs: DataFrame, labels: DataFrame, id_col: str = "doc_i
     share = min(1.0, 0.95 * max_unlabelled / max(1, rows.count()))
     drawn = F.pmod(F.xxhash64("id", F.lit(SEED + 1)), F.lit(1 << 30)) / float(1 << 30) < share
     sample = rows.join(F.broadcast(trusted.withColumn("trusted", F.lit(True))), "id", "left").select("text", F.coalesce("trusted", F.lit(False)).alias("trusted"), F.coalesce(drawn, F.lit(False)).alias("drawn"), "id", numbered.alias("place"))
-    picked = sample.filter("trusted or drawn").dropDuplicates(["id", "place"])  # a row that repeats counts once
-    got = text_statistics(picked).toPandas().sort_values(["place", "id"], kind="stable")  # halves don't depend on partitions
+    picked = text_statistics(sample.filter("trusted or drawn")).dropDuplicates(["id", "place"])  # a row that repeats counts once
+    got = picked.toPandas().sort_values(["place", "id"], kind="stable")  # halves don't depend on partitions
     x = np.array(got["stats"].tolist(), float).reshape(len(got), len(FEATURES))
     if not len(x):
         return QualityModel(np.zeros((len(FEATURES), 1)), np.zeros(2 * len(FEATURES)), 0.0)
