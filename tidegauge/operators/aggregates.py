@@ -76,6 +76,14 @@ def assign_band(reviews: DataFrame, bands: DataFrame) -> DataFrame:
     return reviews.join(b, (F.col("appid") == F.col("band_appid")) & in_band(F.col("playtime")), "left").select(*reviews.columns, "band_no")
 
 
+def misplaced(reviews: DataFrame, bands: DataFrame) -> DataFrame:
+    """Reviews with a playtime that aren't in exactly one band, and in how many they are."""
+    b = bands.select(F.col("appid").alias("band_appid"), "playtime_from", "playtime_to")
+    inside = (F.col("appid") == F.col("band_appid")) & in_band(F.col("playtime"))
+    hits = reviews.filter("playtime >= 0").join(b, inside, "left")
+    return hits.groupBy("appid", "recommendationid").agg(F.count("band_appid").alias("n_bands")).filter("n_bands <> 1")
+
+
 def band_stat(reviews: DataFrame) -> DataFrame:
     """Four rows per game, empty bands included."""
     bounds = band_bounds(reviews)

@@ -63,6 +63,18 @@ def conflicts(df: DataFrame, key: list[str], payload: list[str]) -> DataFrame:
     return df.groupBy(*key).agg(F.countDistinct(F.struct(*payload)).alias("variants")).filter("variants > 1")
 
 
+def conflicts_of_latest(df: DataFrame, repeat: list[str], key: list[str], payload: list[str]) -> DataFrame:
+    """:func:`conflicts` after exact repeats (equal in ``repeat`` and payload) have collapsed, with the rows left."""
+    once = df.dropDuplicates([*repeat, *payload])
+    return once.groupBy(*key).agg(F.countDistinct(F.struct(*payload)).alias("variants"), F.count("*").alias("n_rows")).filter("variants > 1")
+
+
+def unknown_codes(rows: DataFrame, codes: DataFrame, column: str, code: str) -> DataFrame:
+    """Values of a column that a code list lacks, and how often: none must be left before rows are loaded."""
+    listed = codes.select(F.col(code).alias(column)).distinct()
+    return rows.filter(F.col(column).isNotNull()).join(listed, column, "left_anti").groupBy(column).agg(F.count("*").alias("n_rows"))
+
+
 def assert_no_conflicts(df: DataFrame, key: list[str], payload: list[str]) -> None:
     found = conflicts(df, key, payload)
     if not found.isEmpty():

@@ -415,3 +415,46 @@ def catalog_upsert(t: Tables) -> DataFrame:
     old = t.raw("customer").select(F.col("c_custkey").cast("bigint").alias("appid"), F.col("c_name").alias("title"))
     new = old.filter("appid % 4 = 0").select("appid", F.concat(F.lit("New "), "title").alias("title")).unionByName(t.raw("nation").select((F.lit(1_000_000) + F.col("n_nationkey")).cast("bigint").alias("appid"), F.col("n_name").alias("title")))
     return responses.shaped(versions.merge_columns(old, new, ["appid"], {}), {"title": 12})
+
+
+# ---- guards ----------------------------------------------------------------------------
+
+
+@query(with_("bd p", ", x as (select * from bd where not (appid = 3 and band_no = 2) union all select * from bd where appid = 4 and band_no = 1) select p.appid, recommendationid, count(x.appid) n_bands from p left join x on x.appid = p.appid and playtime >= playtime_from and (playtime_to is null or playtime < playtime_to) where playtime >= 0 group by 1, 2 having count(x.appid) <> 1").replace(" , x as", ", x as"))
+def misplaced_reviews(t: Tables) -> DataFrame:
+    """Reviews in no band or in two, where one band is missing and another comes twice."""
+    p = t.playtimes()
+    bands = agg.band_bounds(p)
+    return agg.misplaced(p, bands.filter("not (appid = 3 and band_no = 2)").unionByName(bands.filter("appid = 4 and band_no = 1")))
+
+
+@query("with o as (select distinct o_custkey, o_orderstatus, o_orderpriority from orders) select o_custkey, count(distinct (o_orderstatus, o_orderpriority)) variants, count(*) n_rows from o group by 1 having count(distinct (o_orderstatus, o_orderpriority)) > 1")
+def conflicts_after_repeats(t: Tables) -> DataFrame:
+    return checks.conflicts_of_latest(t.raw("orders"), ["o_custkey"], ["o_custkey"], ["o_orderstatus", "o_orderpriority"])
+
+
+@query("select cast(l_suppkey % 30 as bigint) code, count(*) n_rows from lineitem where l_suppkey % 30 not in (select n_nationkey from nation) group by 1")
+def unknown_codes(t: Tables) -> DataFrame:
+    rows = t.raw("lineitem").select((F.col("l_suppkey") % 30).cast("bigint").alias("code"))
+    return checks.unknown_codes(rows, t.raw("nation"), "code", "n_nationkey")
+
+
+@query("select l_orderkey, string_agg(l_returnflag, '' order by first_at) flags from (select l_orderkey, l_returnflag, min(l_linenumber * 10 + case l_returnflag when 'A' then 0 when 'N' then 1 else 2 end) first_at from lineitem group by 1, 2) group by 1")
+def ordered_unique(t: Tables) -> DataFrame:
+    """The distinct values of a list in the order of their first occurrence."""
+    rows = F.array_sort(F.collect_list(F.struct("l_linenumber", "l_returnflag")))
+    return t.raw("lineitem").groupBy("l_orderkey").agg(F.array_join(F.array_distinct(F.transform(rows, lambda x: x["l_returnflag"])), "").alias("flags"))
+
+
+@query("select o_orderkey, o_totalprice from orders order by o_totalprice desc, o_orderkey limit 10")
+def log_preview(t: Tables) -> DataFrame:
+    """The ten rows that a job's log shows."""
+    return t.raw("orders").select("o_orderkey", "o_totalprice").orderBy(F.desc("o_totalprice"), "o_orderkey").limit(10)
+
+
+@query(with_("r", ", m as (select max(updated_ts) hi from r), l as (select recommendationid, updated_ts, collected_ts from r qualify row_number() over (partition by recommendationid order by updated_ts desc, collected_ts desc) = 1) select l.* from l, m where updated_ts >= hi - 172800").replace(" , m as", ", m as"))
+def recent_upsert(t: Tables) -> DataFrame:
+    """An upsert that drops what has left the window."""
+    r = t.reviews().select("recommendationid", "updated_ts", "collected_ts")
+    newest = r.agg(F.max("updated_ts").alias("hi")).first()["hi"]
+    return versions.upsert(r.filter("collected_ts % 3 <> 0"), r.filter("collected_ts % 3 = 0"), ["recommendationid"], [F.desc("updated_ts"), F.desc("collected_ts")], F.col("updated_ts") >= newest - 172_800)
