@@ -96,6 +96,14 @@ class PrefixCounter:
         All pieces go in one scan of the token automaton, parted by a character that no
         token holds; position k of the scan stands for the prefix that ends there.
         """
+        count, out, at = self.scan_counts(pieces), [], 1
+        for p in pieces:
+            out.append(count[at:at + len(p)])
+            at += len(p) + 1
+        return out
+
+    def scan_counts(self, pieces: list[bytes]) -> list[int]:
+        """The counts at every place of one scan: 0 before each piece, then those of its prefixes."""
         scan = "\u0100" + "\u0100".join(p.decode("latin-1") for p in pieces)
         last, count, fits = [self.start] * len(scan), [0] * len(scan), self.fits
         for end, (token, size) in self.matcher.iter(scan):
@@ -103,17 +111,48 @@ class PrefixCounter:
                 before = end - size
                 if fits[last[before] << 17 | token]:
                     last[end], count[end] = token, count[before] + 1
-        out, at = [], 1
-        for p in pieces:
-            out.append(count[at:at + len(p)])
-            at += len(p) + 1
-        return out
+        return count
 
     def unit_deltas(self, units: list[str]) -> list[bytes]:
-        """Steps of the count over each unit: white space and the non-space characters after it.
-
-        A prefix that ends in the white space has all of it as one pre-token.
+        """Steps of the count over each unit: white space and the non-space characters after it."""
+        run = [_RUN.match(u) for u in units]
+        long = [k for k, m in enumerate(run) if m and m.end() > 1]
+        if not long:
+            return self.steps(units)
+        odd = set(long)
+        plain = iter(self.steps([u for k, u in enumerate(units) if k not in odd]))
+        rest = iter(self.run_deltas([units[k] for k in long]))
+        return [next(rest) if k in odd else next(plain) for k in range(len(units))]
+
+    def steps(self, units: list[str]) -> list[bytes]:
+        """:meth:`unit_deltas` of units with one character of white space at most, in one array.
+
+        A step is the count at a character's last byte, less that at the character before it
+        in the same pre-token: a pre-token begins at 0 again, as counts of pre-tokens add up.
         """
+        pieces: list[str] = []
+        upto = [0]
+        for unit in units:
+            if unit.isalpha() or unit[0] == " " and unit[1:].isalpha():
+                pieces.append(unit)
+            else:
+                pieces += self.pattern.findall(unit)
+            upto.append(upto[-1] + len(unit))
+        raw = [p.encode() for p in pieces]
+        count = np.array(self.scan_counts(raw), np.int32)
+        scan = np.frombuffer(b"\0" + b"\0".join(raw), np.uint8)
+        before = np.cumsum([0, *(len(r) + 1 for r in raw)])[:-1] if raw else np.zeros(0, np.int64)  # the place before each piece
+        for k, p in enumerate(pieces):
+            if len(p) == 3 and p[0] == "'" and p[1].isalpha():
+                count[before[k] + 2] = 2  # cut inside a contraction, the apostrophe and the letter stand apart
+        ends = np.append(scan[1:] & 0xC0 != 0x80, True)
+        start = np.zeros(len(scan), bool)
+        start[before] = True
+        steps = np.diff(count[ends], prepend=0)[~start[ends]].astype(np.int8).tobytes() if raw else b""
+        return [steps[x:y] for x, y in zip(upto, upto[1:], strict=False)]
+
+    def run_deltas(self, units: list[str]) -> list[bytes]:
+        """:meth:`unit_deltas` of any units: a prefix that ends in the white space has all of it as one pre-token."""
         plans, pieces = [], []
         for unit in units:
             m = run.end() if (run := _RUN.match(unit)) else 0
