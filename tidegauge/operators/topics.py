@@ -8,16 +8,27 @@ from pyspark.ml.feature import HashingTF, Tokenizer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tidegauge.operators.versions import latest
 
+#: Salted groups of a class, and classes up to which their counts are broadcast.
+SALTS, CLASSES = 64, 1000
 GRID = [round(0.2 + 0.025 * k, 3) for k in range(25)]
 
 
 def folded(rows: DataFrame, label: str, key: str, folds: int = 5) -> DataFrame:
-    """``fold`` 0..folds-1 by a hash of class and key: even within each class, but for chance, and
-    without an exchange. A row keeps its fold whatever else is in the table."""
-    return rows.withColumn("fold", F.pmod(F.xxhash64(label, key), F.lit(folds)).cast("int"))
+    """``fold`` 0..folds-1, dealt evenly within each class.
+
+    A class may hold most rows, so rows are numbered within salted groups of it, by a hash of the
+    key, and the counts of the groups before (SALTS a class) are added.
+    """
+    salted = rows.withColumn("fold_salt", F.pmod(F.xxhash64(key), F.lit(SALTS)))
+    before = Window.partitionBy(label).orderBy("fold_salt").rowsBetween(Window.unboundedPreceding, -1)
+    counts = salted.groupBy(label, "fold_salt").agg(F.count("*").alias("n")).select(label, "fold_salt", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("fold_before"))
+    own = salted.withColumn("fold_n", F.row_number().over(Window.partitionBy(label, "fold_salt").orderBy(F.xxhash64(key, F.lit(1)), key)))
+    placed = own.join(F.broadcast(counts) if rows.select(label).distinct().count() <= CLASSES else counts, [label, "fold_salt"])
+    return placed.withColumn("fold", F.pmod(F.col("fold_before") + F.col("fold_n") - 1, F.lit(folds)).cast("int")).select(*rows.columns, "fold")
 
 
 def weighted(rows: DataFrame, label: str) -> DataFrame:
